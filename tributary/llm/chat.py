@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.textkit import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Placeholder of each kind of attachment.
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -147,7 +149,7 @@ def format_turns(turns: DataFrame, content_col: str = "text", conv_col: str = "c
                 names=[f.split()[0] for f in ("conv_id", "turn", "role", "sort_text", "formatted", "loss_start", "loss_end", "attachments", "expanded_tokens")],
             )
 
-    return chosen.mapInArrow(scan, TURNS)
+    return small_batches(chosen).mapInArrow(scan, TURNS)
 
 
 def in_order(formatted: DataFrame) -> DataFrame:

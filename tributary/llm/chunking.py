@@ -12,8 +12,8 @@ runs of marked chunks of ``MIN_WORDS`` words or more are cut out. A repeated
 passage of over 50 words loses all but the few words at its ends that share a
 chunk with different text; shorter repeats, such as stock sentences, stay.
 
-Distribution: a batch sends each digest once, with its least document, packed
-by digest range into binary columns (no row per chunk); what the batch's other
+Distribution: a task gathers a million chunks at a time and sends each digest once, with its least document, packed
+by digest range into binary columns (no row per chunk); what the task's other
 documents lose is known already and goes straight to them. A range's task
 sorts its digests and answers losing documents with arrays. A digest that a
 third of all documents share is so one entry per batch. Texts meet their
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import BYTE_VALUES, NON_SPACE, U64, Block, Powers, blocks, mix, row_of
+from tributary.llm.textkit import BYTE_VALUES, NON_SPACE, U64, Block, Powers, blocks, mix, row_of, small_batches
 
 #: Chunks hold 2 ** MASK_BITS words on average.
 MASK_BITS = 2
@@ -41,6 +41,8 @@ MASK_BITS = 2
 MIN_WORDS = 20
 #: Text whose digests go to one range.
 RANGE_BYTES = 8 << 20
+#: Chunks that a task gathers before it sends them on.
+HELD_CHUNKS = 1_000_000
 GEAR = U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -114,28 +116,32 @@ def requests(parts: int):
     """From (key, text): each batch's digests with their least document, and what its other documents lose."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, digests, docs, held = Powers(), [], [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            digest, doc = [], []
             for lo, _, block in blocks(batch.column(1), powers):
                 c = Chunks(block)
-                digest.append(c.digest)
-                doc.append(keys[lo + c.row])
-            if not digest:
-                continue
-            digest, doc = np.concatenate(digest), np.concatenate(doc)
-            order = np.lexsort((doc, digest))
-            digest, doc = digest[order], doc[order]
-            first, end = groups(digest)
-            least = np.repeat(doc[first], end - first)
-            lost = (doc != least) & np.append(True, (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]))
-            yield from losses(doc[lost], digest[lost], parts)
-            digest, doc = digest[first], doc[first]
-            part = range_of(digest, parts)
-            begin, _ = groups(part)
-            bounds = np.append(begin, len(part))
-            yield sent(part[begin], 0, digest, bounds, doc, bounds)
+                digests.append(c.digest)
+                docs.append(keys[lo + c.row])
+                held += len(c.digest)
+                if held >= HELD_CHUNKS:
+                    yield from gathered(np.concatenate(digests), np.concatenate(docs))
+                    digests, docs, held = [], [], 0
+        if held:
+            yield from gathered(np.concatenate(digests), np.concatenate(docs))
+
+    def gathered(digest: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((doc, digest))
+        digest, doc = digest[order], doc[order]
+        first, end = groups(digest)
+        least = np.repeat(doc[first], end - first)
+        lost = (doc != least) & np.append(True, (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]))
+        yield from losses(doc[lost], digest[lost], parts)
+        digest, doc = digest[first], doc[first]
+        part = range_of(digest, parts)
+        begin, _ = groups(part)
+        bounds = np.append(begin, len(part))
+        yield sent(part[begin], 0, digest, bounds, doc, bounds)
 
     return scan
 
@@ -230,8 +236,8 @@ def lost_digests(docs: DataFrame) -> DataFrame:
     """(key, digests): what each document loses to others, from (key, text)."""
     held = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(8, -(-held // RANGE_BYTES))
-    asked = docs.select("key", "text").mapInArrow(requests(parts), SENT)
-    told = asked.repartition("part").sortWithinPartitions("part").mapInArrow(answers(parts), "key long, digests binary")
+    asked = small_batches(docs.select("key", "text")).mapInArrow(requests(parts), SENT)
+    told = small_batches(asked.repartition("part").sortWithinPartitions("part")).mapInArrow(answers(parts), "key long, digests binary")
     return told.groupBy("key").agg(F.listagg("digests").alias("lost"))
 
 
@@ -262,7 +268,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks.astype(np.int64)), pa.array([sum(e - b for b, e in own) for own in cuts], pa.int64()), ranges], names=[*names, "_chunks", "_cut_words", "_cuts"])
 
     extra = "_chunks long, _cut_words long, _cuts array<struct<begin: long, end: long>>"
-    return met.mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), extra]))
+    return small_batches(met).mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), extra]))
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import FOLDED_VALUES, LETTERS_DIGITS, U64, Block, Powers, blocks, row_of
+from tributary.llm.textkit import FOLDED_VALUES, LETTERS_DIGITS, U64, Block, Powers, blocks, row_of, small_batches
 
 WINDOW = 10
 #: Words of one shard's sequence; a longer run is cut with an overlap of a window less one word.
@@ -294,7 +294,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, HIT_SCHEMA)
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(scan, HIT_SCHEMA)
 
 
 def cut_hits(text: str, phrases: Phrases, powers: Powers) -> str:
@@ -336,4 +336,4 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", l
                 batch = pa.RecordBatch.from_arrays(columns, names=names)
             yield batch
 
-    return docs.mapInArrow(scan, docs.schema)
+    return small_batches(docs).mapInArrow(scan, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import FOLD, Block, Powers, blocks
+from tributary.llm.textkit import FOLD, Block, Powers, blocks, small_batches
 
 LONGEST = 3
 SPACE = 1 << 14
@@ -124,7 +124,7 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
                     bits = [np.packbits(r).tobytes() for r in x]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + b, e - b), batch.column(1).slice(lo + b, e - b), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
-    found = usable.where(F.col("doc_id").isin(wanted)).select("doc_id", "lang", "text").mapInArrow(digest, "doc_id long, lang string, bits binary").collect() if wanted else []
+    found = small_batches(usable.where(F.col("doc_id").isin(wanted)).select("doc_id", "lang", "text")).mapInArrow(digest, "doc_id long, lang string, bits binary").collect() if wanted else []
     rows = sorted((r["lang"], r["doc_id"], bytes(r["bits"])) for r in found)
     order_of = {(lang, d): k for d, lang, k in picked}
     rows = sorted((x for x in rows if (x[0], x[1]) in order_of), key=lambda r: (r[0], order_of[r[0], r[1]], r[2]))
@@ -168,4 +168,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             names, shares = (names, shares) if model else (["und"] * batch.num_rows, [0.0] * batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(scan, PREDICTED)
+    return small_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")).mapInArrow(scan, PREDICTED)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import FOLDED_VALUES, LETTERS_DIGITS, U64, Powers, blocks, byte_table, runs_of
+from tributary.llm.textkit import FOLDED_VALUES, LETTERS_DIGITS, U64, Powers, blocks, byte_table, runs_of, small_batches
 
 THRESHOLD = 0.8
 
@@ -166,4 +166,4 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                 names=["doc_id", "n_matches", "licence", "dice", "passage", "licences"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, FOUND)
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(scan, FOUND)

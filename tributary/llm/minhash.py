@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import FOLDED_VALUES, NON_SPACE, U64, Block, Powers, blocks, cut, mix, row_of, runs_of
+from tributary.llm.textkit import FOLDED_VALUES, NON_SPACE, U64, Block, Powers, blocks, cut, mix, row_of, runs_of, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["node", "doc_id", "n_shingles", "bands", "sketch"],
                 )
 
-    return docs.select("node", "doc_id", "text").mapInArrow(scan, SKETCH_SCHEMA)
+    return small_batches(docs.select("node", "doc_id", "text")).mapInArrow(scan, SKETCH_SCHEMA)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 small, _, firsts = distinct(hashes >> U64(32), firsts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed(small.astype(np.uint32), firsts)], names=["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(scan, "node long, shingles binary")
+    return small_batches(docs.select("node", "text")).mapInArrow(scan, "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep[i] = common >= SIMILARITY * (len(both) - common) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return small_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")).mapInArrow(test, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def cross_pairs(buckets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     dealt = buckets.select("bucket", "label", "minor", "node", "n_shingles", "sketch").repartition("bucket").sortWithinPartitions("bucket", F.desc("minor"))
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    return small_batches(dealt).mapInArrow(scan, "a long, b long").distinct()
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

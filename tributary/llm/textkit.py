@@ -152,6 +152,20 @@ def runs_of(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out[at]), at
 
 
+#: Bytes of an Arrow batch between the JVM and Python; the session's own limit holds if it is lower.
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df):
+    """The same frame, with its session's Arrow batches held to BATCH_BYTES: a batch is held several times over, by the JVM, by Arrow and by Python."""
+    conf = df.sparkSession.conf
+    held = conf.get(BATCH_LIMIT, None)
+    if held is None or not held.rstrip("bB").isdigit() or int(held.rstrip("bB")) > BATCH_BYTES:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark) -> str:
     """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir, else one of our own (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import cut
+from tributary.llm.textkit import cut, small_batches
 from tributary.llm.url_cascade import host_of
 
 #: A text that the host's pages share is template only if so many different pages show it.
@@ -404,9 +404,9 @@ WRAPPERS = "host string, salt int, wrapper binary"
 
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper) of all pages (host, html)."""
-    parts = pages.select("host", "html").mapInArrow(fold_pages, WRAPPERS)
-    halves = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(fold_wrappers, WRAPPERS)
-    return halves.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(fold_wrappers, WRAPPERS).select("host", "wrapper")
+    parts = small_batches(pages.select("host", "html")).mapInArrow(fold_pages, WRAPPERS)
+    halves = small_batches(parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")).mapInArrow(fold_wrappers, WRAPPERS)
+    return small_batches(halves.repartition("host").sortWithinPartitions("host", "wrapper")).mapInArrow(fold_wrappers, WRAPPERS).select("host", "wrapper")
 
 
 TEXTS = "page_id long, url string, text string, n_chars long"
@@ -447,7 +447,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
             yield from texts((b, [of(h) for h in b.column(2).to_pylist()]) for b in batches)
 
-        return rows.mapInArrow(known, TEXTS)
+        return small_batches(rows).mapInArrow(known, TEXTS)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[bytes, Wrapper] = {}
@@ -464,4 +464,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield from texts(iter([(one, [of(one.column(4)[0].as_py())])]))
 
     met = rows.join(wrappers.select(F.col("host").alias("_host"), "wrapper"), F.col("host") == F.col("_host"), "left")
-    return met.select("page_id", "url", "host", "html", "wrapper").mapInArrow(joined, TEXTS)
+    return small_batches(met.select("page_id", "url", "host", "html", "wrapper")).mapInArrow(joined, TEXTS)
