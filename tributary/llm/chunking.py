@@ -246,7 +246,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = docs.columns
     keyed = docs.withColumn("_key", document_key(id_col, text_col))
     lost = lost_digests(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text"))).select(F.col("key").alias("_lost_key"), F.col("lost").alias("_lost"))
-    met = keyed.join(lost, keyed["_key"] == F.col("_lost_key"), "left").select(*(keyed[c] for c in names), "_lost")
+    met = keyed.join(lost.hint("shuffle_hash"), keyed["_key"] == F.col("_lost_key"), "left").select(*(keyed[c] for c in names), "_lost")
     at = names.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
