@@ -16,10 +16,11 @@ from the first shuffle on, counted per map task before it.
 1. Every text in a bucket links to the bucket's most popular text (the one
    that meets most others over all its bands: of a group of edited copies, the
    original). One test per text.
-2. Components; in buckets that still hold several, all pairs across components
-   whose signatures and set sizes allow 0.8 are verified, then components again.
-   Pairs inside a component are never formed. Signatures are compared in
-   blocks, the bucket's smaller components held against a stream of the rest.
+2. Components; in buckets that still hold several, texts outside the largest
+   are compared with all of other components, first by signature and set size,
+   then by their sets, and one link for each two components becomes a row; then
+   components again. Pairs inside a component are never formed, and a bucket's
+   smaller components are held against a stream of the rest.
 
 Defined results: null, empty and word-less texts each are one text without
 shingles: equal ones are copies, and nothing else is like them. Repeated rows
@@ -197,44 +198,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components that sketches and sizes allow, from rows (bucket, label, minor, node, n_shingles, sketch); minor rows are those outside the bucket's largest component."""
+def cross_links(buckets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one bucket, one for each two components that have any.
+
+    Rows are (bucket, label, minor, node, sketch, bands, shingles); minor ones
+    lie outside the bucket's largest component, and each is compared with all
+    rows of other components. Texts that meet in several buckets are compared
+    in the first only; sketches and set sizes sort out most pairs, and what is
+    left is verified here, so no pair becomes a row unless it is a link.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        current = None
+        current, held, joined = None, [], {}
         for batch in batches:
-            bucket, label, node, size = (batch.column(k).to_numpy() for k in (0, 1, 3, 4))
-            minor = batch.column(2).to_numpy(zero_copy_only=False)
-            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, COMPONENTS)
+            bucket = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
                 if bucket[lo] != current:
-                    current, held = bucket[lo], []
-                part = slice(lo, hi)
-                # Rows come with minor ones first; each meets all minor rows before it, and its own part's.
-                own = tuple(x[part] for x in (node, label, size, sketch, minor))
-                fresh = tuple(x[own[4]] for x in own[:4])
-                if len(fresh[0]):
-                    held.append(fresh)
-                for other in held:
-                    for k in range(0, len(other[0]), 256):
-                        yield from close(tuple(x[k : k + 256] for x in other), own)
-
-    def close(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        allowed = x[1][:, None] != y[1][None, :]
-        allowed &= np.minimum(x[2][:, None], y[2][None, :]) >= SIMILARITY * np.maximum(x[2][:, None], y[2][None, :])
-        i, j = np.nonzero(allowed)
-        for k in range(0, len(i), 20_000):
-            p, q = i[k : k + 20_000], j[k : k + 20_000]
-            near = (x[3][p] == y[3][q]).sum(axis=1) >= LEAST_EQUAL
-            a, b = x[0][p[near]], y[0][q[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    dealt = buckets.select("bucket", "label", "minor", "node", "n_shingles", "sketch").repartition("bucket").sortWithinPartitions("bucket", F.desc("minor"))
+                    current, held, joined = bucket[lo], [], {}
+                part = Members(batch.slice(lo, hi - lo), int(current))
+                # Minor rows come first: each part meets all minor rows before it, and its own.
+                held += part.minors()
+                found = [link for u in held for link in part.links(u, joined)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    dealt = buckets.select("bucket", "label", "minor", "node", "sketch", "bands", "shingles").repartition("bucket").sortWithinPartitions("bucket", F.desc("minor"))
     return small_batches(dealt).mapInArrow(scan, "a long, b long").distinct()
 
 
+class Members:
+    """Some rows of one bucket, as arrays."""
+
+    def __init__(self, rows: pa.RecordBatch, bucket: int) -> None:
+        self.label, self.node = rows.column(1).to_pylist(), rows.column(3).to_pylist()
+        self.minor = rows.column(2).to_pylist()
+        self.sketch = np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype=np.uint16).reshape(-1, COMPONENTS)
+        self.bands = np.array(rows.column(5).to_pylist(), dtype=np.int64).reshape(-1, BANDS)
+        self.band = np.argmax(self.bands == bucket, axis=1)
+        sets = rows.column(6).to_pylist()
+        self.size = np.array([len(x) // 4 for x in sets], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.shingles = np.frombuffer(b"".join(sets), dtype=np.uint32)
+
+    def minors(self) -> list[tuple]:
+        return [(self.label[i], self.node[i], self.sketch[i], self.bands[i], self.shingles[self.first[i] : self.first[i + 1]].copy()) for i, m in enumerate(self.minor) if m]
+
+    def links(self, minor: tuple, joined: dict[int, int]) -> Iterator[tuple[int, int]]:
+        """Links of one minor row to rows here, one for each component not joined to its own yet."""
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        label, node, sketch, bands, own = minor
+        near = (self.sketch == sketch).sum(axis=1) >= LEAST_EQUAL
+        near &= np.minimum(self.size, len(own)) >= SIMILARITY * np.maximum(self.size, len(own)) - 1e-9
+        near &= np.argmax(self.bands == bands, axis=1) == self.band
+        at = [i for i in np.flatnonzero(near).tolist() if root(self.label[i]) != root(label)]
+        if not at:
+            return
+        spans = [self.shingles[self.first[i] : self.first[i + 1]] for i in at]
+        every = np.concatenate(spans)
+        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        common = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum([0, *(len(x) for x in spans[:-1])]))
+        for i, both in zip(at, common.tolist(), strict=True):
+            a, b = root(label), root(self.label[i])
+            if a != b and both >= SIMILARITY * (len(own) + int(self.size[i]) - both) - 1e-9:
+                joined[a] = b
+                yield min(node, self.node[i]), max(node, self.node[i])
+
+
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
@@ -263,8 +298,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     sized = labelled.groupBy("bucket", "label").agg(F.count("*").alias("many"))
     mixed = sized.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("many", "label")).alias("major")).where("labels > 1").select("bucket", F.col("major.label").alias("major"))
-    rest = labelled.join(mixed, "bucket").withColumn("minor", F.col("label") != F.col("major")).join(texts.select("node", "n_shingles", "sketch"), "node")
-    more = cut(verified(cut(cross_pairs(rest)), sets))
+    rest = labelled.join(mixed, "bucket").withColumn("minor", F.col("label") != F.col("major")).join(texts.select("node", "bands", "sketch"), "node").join(sets, "node")
+    more = cut(cross_links(rest))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     joined = texts.select("node", "doc_id", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
