@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tributary.functions import arrays, contact, dates, dims, places, similarity, skills, text
 from tributary.operators import mapping
 
-DAY = F.lit("2024-06-15").cast("date")
+
+def day():
+    return F.lit("2024-06-15").cast("date")
 
 
 def values(spark, f, given, kind="string"):
@@ -63,15 +65,15 @@ def test_dates(spark):
     d = dt.date
     pairs = [("Q3 2019", d(2019, 7, 1)), ("Jan 2020", d(2020, 1, 1)), ("september 2020", d(2020, 9, 1)), ("2018", d(2018, 1, 1)), ("1900", None), ("2020-02-30", None), ("2020-03-04", d(2020, 3, 4)), ("2020-03", d(2020, 3, 1)), ("03/04/2020", d(2020, 3, 4)), ("25/12/2020", d(2020, 12, 25))]
     pairs += [("03/2020", d(2020, 3, 1)), ("March 5, 2021", d(2021, 3, 5)), ("5th Mar 2021", d(2021, 3, 5)), ("2021-01-02T03:04:05Z", d(2021, 1, 2)), ("present", None), ("garbage", None), ("", None), (None, None)]
-    check(spark, lambda c: dates.parse_date(c, DAY), pairs)
-    check(spark, lambda c: dates.parse_date(c, DAY, end=True), [("Present", d(2024, 6, 15)), ("till date", d(2024, 6, 15)), ("2020", d(2020, 1, 1))])
-    span = lambda c: F.concat_ws("|", *(F.coalesce(dates.parse_range(c, DAY)[k].cast("string"), F.lit("-")) for k in ("start", "end", "current")))
+    check(spark, lambda c: dates.parse_date(c, day()), pairs)
+    check(spark, lambda c: dates.parse_date(c, day(), end=True), [("Present", d(2024, 6, 15)), ("till date", d(2024, 6, 15)), ("2020", d(2020, 1, 1))])
+    span = lambda c: F.concat_ws("|", *(F.coalesce(dates.parse_range(c, day())[k].cast("string"), F.lit("-")) for k in ("start", "end", "current")))
     check(spark, span, [("Jan 2018 – Mar 2022", "2018-01-01|2022-03-01|false"), ("2018 - Present", "2018-01-01|2024-06-15|true"), ("2018", "2018-01-01|-|false"), (None, "-|-|false")])
 
 
 def test_durations(spark):
     rows = spark.createDataFrame([("2020-01-31", "2021-03-01", False), ("2020-01-01", None, True), ("2021-01-01", "2020-01-01", False), (None, None, True), ("2020-01-01", None, False)], "s string, e string, c boolean")
-    got = rows.select(dates.duration_months(F.col("s").cast("date"), F.col("e").cast("date"), F.col("c"), DAY).alias("m")).collect()
+    got = rows.select(dates.duration_months(F.col("s").cast("date"), F.col("e").cast("date"), F.col("c"), day()).alias("m")).collect()
     assert [r.m for r in got] == [14, 53, 0, None, None]
 
 
@@ -103,7 +105,7 @@ def test_ratio_is_that_of_the_subsequence_table(a, b):
     x, y = (" ".join(sorted(s.split())) for s in (a, b))
     line = [0] * (len(y) + 1)
     for ch in x:
-        line = [0, *line[1:]] if False else next_line(line, ch, y)
+        line = next_line(line, ch, y)
     want = 100.0 if x == y else 200.0 * line[-1] / (len(x) + len(y))
     assert similarity.ratio(a, b) == pytest.approx(want)
 

@@ -42,20 +42,20 @@ def cell(c: Column) -> Column:
     return F.when(~(c.isin(*NOTHING) | F.lower(value).isin("nan", "none", "null", "")), value)
 
 
+#: The mark before some UTF-8 files.
+MARK = "\ufeff"
+
+
 def sniffed(spark: SparkSession, path: str) -> tuple[str, str] | None:
-    """Encoding and separator under which the header has more than one column."""
-    for encoding in ENCODINGS:
-        try:
-            first = spark.read.option("encoding", encoding).csv(path, sep="\x00").limit(1).collect()
-        except Exception:  # a file that Spark can't decode is tried in the next encoding
-            continue
-        header = first[0][0].lstrip("﻿") if first and first[0][0] else ""
-        if "�" in header:
-            continue
-        for sep in SEPARATORS:
-            if len(header.split(sep)) > 1:
-                return encoding, sep
-    return None
+    """Encoding that all lines are in, and separator under which the header has more than one column."""
+    lines = spark.read.text(path)
+    first = lines.limit(1).collect()
+    header = (first[0][0] or "").lstrip(MARK) if first else ""
+    sep = next((s for s in SEPARATORS if len(header.split(s)) > 1), None)
+    if sep is None:
+        return None
+    odd = lines.where(~F.is_valid_utf8("value")).limit(1).count()
+    return ENCODINGS[1 if odd else 0], sep
 
 
 def read_delimited(spark: SparkSession, path: str, entity: Column | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def read_delimited(spark: SparkSession, path: str, entity: Column | None = None)
         one = spark.range(1).select(F.lit(path).alias("raw_path"))
         return as_extracted(one, "csv", entity_id=entity if entity is not None else F.lit(path), raw_path=F.col("raw_path"), error=F.concat(F.lit("[csv] no separator gives more than one column: "), F.col("raw_path")))
     rows = spark.read.csv(path, header=True, sep=found[1], encoding=found[0], ignoreLeadingWhiteSpace=True, inferSchema=False, multiLine=True, escape='"', enforceSchema=False)
-    renamed = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
+    renamed = rows.toDF(*(c.lstrip(MARK) for c in rows.columns))
     return from_rows(renamed, entity if entity is not None else F.lit(path), F.lit(path))
 
 
