@@ -252,3 +252,39 @@ def test_streaming_upsert(spark, tmp_path):
     run()
     assert seen == {0: {"1": "Ann Lee", "2": "Bo Ek"}, 1: {"1": "Anna Lee"}}
     assert mapping.map_canonical(upsert.latest(spark, str(tmp_path / "state")), DAY).count() == 2
+
+
+def multipart(**files):
+    edge = "edge42"
+    parts = [f'--{edge}\r\nContent-Disposition: form-data; name="{n}"' + (f'; filename="{n}.txt"' if isinstance(v, bytes) else "") + "\r\n\r\n" + (v.decode() if isinstance(v, bytes) else v) + "\r\n" for n, v in files.items()]
+    return f"multipart/form-data; boundary={edge}", ("".join(parts) + f"--{edge}--\r\n").encode()
+
+
+def test_service(spark, files):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tributary.serve import server
+
+    web = server(spark, port=0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    top = f"http://127.0.0.1:{web.server_port}"
+
+    def post(**given):
+        kind, body = multipart(**given)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{top}/api/v1/transform", body, {"Content-Type": kind})) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert json.loads(urllib.request.urlopen(f"{top}/health").read())["status"] == "healthy"
+    status, out = post(ats_file=json.dumps(RECORD).encode(), config_file=b'{"output_fields": ["full_name"], "include_metadata": false, "include_confidence": false}')
+    assert status == 200 and set(out) == {"candidate_id", "full_name"}
+    assert post(odd="x")[0] == 400 and post(ats_file=b"{")[0] == 400
+    web.shutdown()
+
+
+def test_users_of_profiles():
+    assert [profiles.user_of(x) for x in ("https://github.com/octo/r", "github.com/octo", "octo", "https://gitlab.com/octo", "https://github.com/")] == ["octo", "octo", "octo", None, None]

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tributary.functions.dims import HIGH, LOW
 from tributary.operators.project import pretty
 from tributary.plans.engine import available_sources, fuse_files
+from tributary.serve import server
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -20,14 +23,23 @@ def main(argv: list[str] | None = None) -> int:
     for source in available_sources():
         one.add_argument(f"--{source}")
     one.add_argument("--config")
-    one.add_argument("--output")
+    one.add_argument("--output", "-o")
+    one.add_argument("--verbose", "-v", action="store_true")
     one.add_argument("--strict", action="store_true")
     sub.add_parser("sources", help="list the sources")
+    web = sub.add_parser("serve", help="answer HTTP requests")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
     args = parser.parse_args(argv)
+    logging.basicConfig(level=logging.DEBUG if getattr(args, "verbose", False) else logging.WARNING, format="%(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     if args.command == "sources":
         print("\n".join(available_sources()))
         return 0
     spark = SparkSession.builder.appName("tributary").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "serve":
+        server(spark, args.host, args.port).serve_forever()
+        return 0
     try:
         fused = fuse_files(spark, {s: getattr(args, s) for s in available_sources()}, args.config)
     except ValueError as e:
@@ -39,9 +51,22 @@ def main(argv: list[str] | None = None) -> int:
         Path(args.output).write_bytes(data)
     else:
         sys.stdout.buffer.write(data + b"\n")
-    totals = fused.summary.first()
-    print(f"errors {totals['errors']}, warnings {totals['warnings']}", file=sys.stderr)
-    return 2 if args.strict and totals["errors"] else 0
+    record = fused.validated.select("full_name", "first_name", "last_name", *COUNTED, "confidence.overall_score", "sources", "findings").first()
+    print("\n".join(report(record)), file=sys.stderr)
+    return 2 if args.strict and any(f["severity"] == "error" for f in record["findings"]) else 0
+
+
+#: Lists whose lengths are reported.
+COUNTED = ("emails", "phones", "skills", "experience", "education", "projects")
+
+
+def report(record) -> list[str]:
+    """A profile in a few lines: its name, sources, lengths, confidence and findings."""
+    name = record["full_name"] or " ".join(x for x in (record["first_name"], record["last_name"]) if x) or "Unknown"
+    score = record["overall_score"]
+    band = "high" if score >= HIGH else "medium" if score >= LOW else "low"
+    lines = [("name", name), ("sources", ", ".join(record["sources"])), *((n, len(record[n])) for n in COUNTED), ("confidence", f"{score:.3f} ({band})")]
+    return [f"{k:<12}{v}" for k, v in lines] + [f"{f['severity']}: [{f['field']}] {f['message']}" for f in record["findings"]]
 
 
 if __name__ == "__main__":

@@ -152,8 +152,10 @@ def read_one(spark: SparkSession, source: str, where: object, entity: str) -> Da
     """Extracted record of one source of one entity; the first row of a file of many."""
     try:
         if source == "github":
-            users = [where] if isinstance(where, str) else list(where)
-            found = reader(source)(spark, users).withColumn("entity_id", F.lit(entity))
+            user = profiles.user_of(str(where))
+            if user is None:
+                return failed(spark, source, entity, f"[{source}] no user in {where}")
+            found = reader(source)(spark, [user]).withColumn("entity_id", F.lit(entity))
         else:
             found = reader(source)(spark, str(where), F.lit(entity))
         return found.limit(1) if found.limit(1).count() else failed(spark, source, entity, f"[{source}] no record in {where}")

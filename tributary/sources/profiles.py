@@ -114,6 +114,16 @@ def fetched(url: str, token: str | None, open_url=None, sleep=None) -> tuple[obj
     return None, f"[github] no answer from {url}"
 
 
+def user_of(source: str) -> str | None:
+    """User of a code-host URL, or the string itself if it is a plain name."""
+    from urllib.parse import urlparse
+
+    if "github.com" in source:
+        parts = [p for p in urlparse(source if "://" in source else f"https://{source}").path.split("/") if p]
+        return parts[0] if parts else None
+    return source if source and "/" not in source else None
+
+
 class ProfileSource(DataSource):
     """``spark.read.format("code_host_profiles").option("users", "a,b").load()``: a profile and its repositories as JSON for each user, one task each.
 
