@@ -66,4 +66,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{top}/{k}-{name}")
         docs = spark.read.parquet(f"{top}/{k}-{name}")
+        if k:
+            removed(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what a stage has written, once the next one has written its own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
