@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import BYTE_VALUES, NON_SPACE, U64, Block, Powers, blocks, mix, row_of, small_batches
+from tributary.llm.textkit import BYTE_VALUES, NON_SPACE, TASK_BYTES, U64, Block, Powers, blocks, gathered, mix, row_of, small_batches, unused
 
 #: Chunks hold 2 ** MASK_BITS words on average.
 MASK_BITS = 2
@@ -66,8 +66,9 @@ class Chunks:
                 short = short + (gear[at - j] << U64(j))
             closes[at] = short & U64((1 << MASK_BITS) - 1) == 0
         closes[self.firsts[1:][np.diff(self.firsts) > 0] - 1] = True
-        self.stop = np.flatnonzero(closes) + 1
-        self.begin = np.append(0, self.stop[:-1])[: len(self.stop)]
+        stop = np.flatnonzero(closes) + 1
+        begin = np.append(0, stop[:-1])[: len(stop)]
+        self.begin, self.stop = begin, stop
         self.row = row[self.begin] if n else np.zeros(0, np.int64)
         # Digest: the words' hashes in order, as a polynomial over the words' places in the chunk.
         place = np.arange(n) - np.repeat(self.begin, self.stop - self.begin)
@@ -125,12 +126,12 @@ def requests(parts: int):
                 docs.append(keys[lo + c.row])
                 held += len(c.digest)
                 if held >= HELD_CHUNKS:
-                    yield from gathered(np.concatenate(digests), np.concatenate(docs))
+                    yield from least_first(np.concatenate(digests), np.concatenate(docs))
                     digests, docs, held = [], [], 0
         if held:
-            yield from gathered(np.concatenate(digests), np.concatenate(docs))
+            yield from least_first(np.concatenate(digests), np.concatenate(docs))
 
-    def gathered(digest: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def least_first(digest: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, digest))
         digest, doc = digest[order], doc[order]
         first, end = groups(digest)
@@ -232,9 +233,8 @@ def without(block: Block, c: Chunks, row: int, cuts: list[tuple[int, int]]) -> s
     return out
 
 
-def lost_digests(docs: DataFrame) -> DataFrame:
-    """(key, digests): what each document loses to others, from (key, text)."""
-    held = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def lost_digests(docs: DataFrame, held: int) -> DataFrame:
+    """(key, digests): what each document loses to others, from (key, text) with so many bytes of text."""
     parts = max(8, -(-held // RANGE_BYTES))
     asked = small_batches(docs.select("key", "text")).mapInArrow(requests(parts), SENT)
     told = small_batches(asked.repartition("part").sortWithinPartitions("part")).mapInArrow(answers(parts), "key long, digests binary")
@@ -244,9 +244,12 @@ def lost_digests(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns; ``text_col`` without repeated passages, and _chunks, _cut_words and _cuts (word ranges cut, of the text as it was)."""
     names = docs.columns
-    keyed = docs.withColumn("_key", document_key(id_col, text_col))
-    lost = lost_digests(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text"))).select(F.col("key").alias("_lost_key"), F.col("lost").alias("_lost"))
-    met = keyed.join(lost.hint("shuffle_hash"), keyed["_key"] == F.col("_lost_key"), "left").select(*(keyed[c] for c in names), "_lost")
+    own_key, key, gone = unused(names, "_key", "_key2", "_lost")
+    report = unused(names, *REPORT)
+    held = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    keyed = docs.withColumn(own_key, document_key(id_col, text_col))
+    lost = lost_digests(keyed.select(F.col(own_key).alias("key"), F.col(text_col).alias("text")), held).select(F.col("key").alias(key), F.col("lost").alias(gone))
+    met = keyed.join(lost.hint("shuffle_hash"), F.col(own_key) == F.col(key), "left").select(*names, gone)
     at = names.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +268,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns[at] = pa.array(texts, columns[at].type)
                 chunks = np.bincount(c.row, minlength=hi - lo)
                 ranges = pa.array([[{"begin": b - int(c.firsts[row]), "end": e - int(c.firsts[row])} for b, e in own] for row, own in enumerate(cuts)], SPANS)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks.astype(np.int64)), pa.array([sum(e - b for b, e in own) for own in cuts], pa.int64()), ranges], names=[*names, "_chunks", "_cut_words", "_cuts"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks.astype(np.int64)), pa.array([sum(e - b for b, e in own) for own in cuts], pa.int64()), ranges], names=[*names, *report])
 
-    extra = "_chunks long, _cut_words long, _cuts array<struct<begin: long, end: long>>"
-    return small_batches(met).mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), extra]))
+    extra = "{} long, {} long, {} array<struct<begin: long, end: long>>".format(*report)
+    return small_batches(gathered(met, held, TASK_BYTES)).mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), extra]))
 
 
+#: Columns that deduplicated() adds, with underscores after them where a column has that name.
+REPORT = ("_chunks", "_cut_words", "_cuts")
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -284,6 +289,6 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The same rows and columns with repeated passages cut out and lengths brought up to date."""
     out = deduplicated(docs, id_col, text_col)
     if length_col in docs.columns:
-        changed = F.when(F.col("_cut_words") > 0, F.length(text_col)).otherwise(F.col(length_col))
+        changed = F.when(F.col(unused(docs.columns, *REPORT)[1]) > 0, F.length(text_col)).otherwise(F.col(length_col))
         out = out.withColumn(length_col, changed.cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)

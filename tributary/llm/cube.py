@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import U64, cut, mix
+from tributary.llm.textkit import TASK_TEXTS, U64, cut, gathered, mix, unused
 
 WEIGHTS = (1, 2, 3)
 #: Targets stop at so many times a source's size.
@@ -169,8 +169,9 @@ def decide(units: DataFrame, sizes: DataFrame) -> DataFrame:
     most = max((-(-r["units"] // BLOCK_UNITS) for r in rows), default=0)
     flown = flight(ready.withColumn("block", dealt), last=most <= 1)
     done = []
+    total = sum(r["units"] for r in rows)
     while most > 1:
-        flown = cut(flown)
+        flown = cut(flown, total)
         fractional = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.where(~fractional))
         # Each block leaves two units, so one block in BLOCK_UNITS / 2 is enough for them.
@@ -189,14 +190,14 @@ def decide(units: DataFrame, sizes: DataFrame) -> DataFrame:
 def as_units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """One row per unit with the number of its rows."""
     return (
-        docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("digest"))
+        docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("digest"))
         .groupBy("source", "doc_id", "size", "digest")
         .agg(F.count("*").alias("n"))
     )
 
 
 def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    units = cut(as_units(docs, id_col, text_col, source_col))
+    units = cut(as_units(docs, id_col, text_col, source_col), docs.count())
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.count("*").alias("units"))
     return decide(units, sizes)
 
@@ -204,12 +205,15 @@ def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: its size, its source's size and target, and the words the mix takes of it."""
     decided = mix_decisions(docs, id_col, text_col, source_col)
-    return decided.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")), "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies").drop("col")
+    rows = decided.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")), "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies").drop("col")
+    return gathered(rows, docs.count())
 
 
 def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: the documents taken, with all their columns and the number of their copies."""
-    taken = mix_decisions(docs, id_col, text_col, source_col).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), F.col("source").alias("_source"), "copies")
-    d = docs.withColumns({"_key": F.col(id_col).cast("long"), "_text": F.xxhash64(F.col(text_col)), "_n": word_count(F.col(text_col))})
-    same = F.col("_text").eqNullSafe(F.col("_digest")) & (F.col("_n") == F.col("_size")) & F.col("_key").eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    return d.join(taken, same).select(*(d[c] for c in docs.columns), "copies")
+    """The mixed corpus: the documents taken, with all their columns and the number of their copies, in place of a column of that name."""
+    own_key, own_text, own_size, own_source, key, text, size, source, copies = unused(docs.columns, "_key", "_text", "_size", "_source", "_key2", "_text2", "_size2", "_source2", "_copies")
+    decided = mix_decisions(docs, id_col, text_col, source_col).where("copies > 0")
+    taken = decided.select(F.col("doc_id").alias(key), F.col("digest").alias(text), F.col("size").alias(size), F.col("source").alias(source), F.col("copies").alias(copies))
+    d = docs.withColumns({own_key: F.col(id_col).cast("long"), own_text: F.xxhash64(F.col(text_col)), own_size: word_count(F.col(text_col)), own_source: F.col(source_col).cast("string")})
+    same = (F.col(own_text) == F.col(text)) & (F.col(own_size) == F.col(size)) & F.col(own_key).eqNullSafe(F.col(key)) & F.col(own_source).eqNullSafe(F.col(source))
+    return gathered(d.join(taken, same).select(*(d[c] for c in docs.columns if c.lower() != "copies"), F.col(copies).alias("copies")), docs.count(), TASK_TEXTS)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.textkit import FOLDED_VALUES, NON_SPACE, U64, Block, Powers, blocks, cut, mix, row_of, runs_of, small_batches
+from tributary.llm.textkit import FOLDED_VALUES, NON_SPACE, TASK_TEXTS, U64, Block, Powers, blocks, cut, gathered, mix, row_of, runs_of, small_batches, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -185,13 +185,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes with links: least node of the connected component, by label propagation with pointer jumping."""
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    n = 2 * links.count()
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n)
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), n)
     while True:
         heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
         told = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         target = labels.select(F.col("node").alias("t"), F.col("label").alias("tl"))
-        new = cut(told.join(target, F.col("label") == F.col("t")).select("node", "old", F.least("label", "tl").alias("label")))
+        new = cut(told.join(target, F.col("label") == F.col("t")).select("node", "old", F.least("label", "tl").alias("label")), n)
         moved = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
@@ -277,29 +278,31 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, label, doc_id, class_id, class_rows, class_texts) per distinct text: its digest, component, least id and class."""
-    named = nodes_of(docs, id_col, text_col)
+    named, n = nodes_of(docs, id_col, text_col), docs.count()
     texts = cut(
         sketches(named)
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        n,
+        TASK_TEXTS,
     )
     entries = texts.select("node", F.explode("bands").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
-    members = cut(entries.join(full, "bucket"))
+    members = cut(entries.join(full, "bucket"), n * BANDS)
     popular = members.groupBy("node").agg(F.sum("many").alias("popularity"))
     ranked = members.join(popular, "node")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("popularity", "node")).alias("rank"))
     led = ranked.join(leaders, "bucket").groupBy("node").agg(F.max("rank").alias("rank")).select(F.col("node").alias("a"), F.col("rank.node").alias("b")).where("a <> b")
     # Copies go before the shuffle, and what they leave meets the members without another one.
     one_each = named.dropDuplicates(["node"]).join(popular.select("node"), "node", "left_semi")
-    sets = cut(shingle_sets(one_each))
-    links = cut(verified(led, sets))
+    sets = cut(shingle_sets(one_each), n, TASK_TEXTS)
+    links = cut(verified(led, sets), n)
     labels = components(links)
     labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     sized = labelled.groupBy("bucket", "label").agg(F.count("*").alias("many"))
     mixed = sized.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("many", "label")).alias("major")).where("labels > 1").select("bucket", F.col("major.label").alias("major"))
     rest = labelled.join(mixed, "bucket").withColumn("minor", F.col("label") != F.col("major")).join(texts.select("node", "bands", "sketch"), "node").join(sets, "node")
-    more = cut(cross_links(rest))
+    more = cut(cross_links(rest), n)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     joined = texts.select("node", "doc_id", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -310,13 +313,15 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its class, named by the class's least id, and the class's rows and distinct texts."""
     classes = text_classes(docs, id_col, text_col).select("node", "class_id", "class_rows", "class_texts")
-    return nodes_of(docs, id_col, text_col).select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_rows", "class_texts")
+    rows = nodes_of(docs, id_col, text_col).select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_rows", "class_texts")
+    return gathered(rows, docs.count())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, that of the least id, with all its columns; of rows that share this id and text, one."""
     kept = text_classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "doc_id").agg(F.min("node").alias("_node"))
-    keys = {"_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_key": F.col(id_col).cast("long")}
-    same = (F.col("_text") == F.col("_node")) & F.col("_key").eqNullSafe(F.col("_id"))
-    one = docs.withColumns(keys).join(kept.select("_node", F.col("doc_id").alias("_id")), same).dropDuplicates(["_text", "_key"])
-    return one.select(*docs.columns)
+    own_text, own_key, text, key = unused(docs.columns, "_text", "_key", "_text2", "_key2")
+    keys = {own_text: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), own_key: F.col(id_col).cast("long")}
+    same = (F.col(own_text) == F.col(text)) & F.col(own_key).eqNullSafe(F.col(key))
+    one = docs.withColumns(keys).join(kept.select(F.col("_node").alias(text), F.col("doc_id").alias(key)), same).dropDuplicates([own_text, own_key])
+    return gathered(one.select(*docs.columns), docs.count(), TASK_TEXTS)

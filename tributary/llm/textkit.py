@@ -152,6 +152,17 @@ def runs_of(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out[at]), at
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of the columns."""
+    there, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bytes of an Arrow batch between the JVM and Python; the session's own limit holds if it is lower.
 BATCH_BYTES = 4 << 20
 BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -168,7 +179,7 @@ def small_batches(df):
 
 def shared_dir(spark) -> str:
     """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir, else one of our own (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         import tempfile
 
@@ -177,9 +188,20 @@ def shared_dir(spark) -> str:
     return found
 
 
-def cut(df):
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
+#: Short rows, rows with texts, or bytes of text that a task of a result holds; small tables so don't end in hundreds of tiny files.
+TASK_ROWS, TASK_TEXTS, TASK_BYTES = 50_000, 4_000, 16 << 20
+
+
+def gathered(df, rows: int, most: int = TASK_ROWS):
+    """The same rows in as many tasks as their number asks for, as many as there are cores at least; never more than now, and without a shuffle."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
+
+
+def cut(df, rows: int | None = None, most: int = TASK_ROWS):
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder; rows: about how many there are, at most."""
     context = df.sparkSession.sparkContext
+    if rows is not None:
+        df = gathered(df, rows, most)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -432,7 +432,7 @@ def texts(rows: Iterator[tuple[pa.RecordBatch, list[Wrapper | None]]]) -> Iterat
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page with the text of its article."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    wrappers = cut(infer(rows))
+    wrappers = cut(infer(rows), pages.count())
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     if size <= MOST_BROADCAST:
         held = {r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()}
