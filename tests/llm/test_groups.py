@@ -168,6 +168,7 @@ def test_substring_dedup_on_the_tables(spark):
         assert len(WORD.findall(out[key].text)) == len(WORD.findall(text)) - words
     assert sum(w > 0 for _, w in want) > 20
     # A passage of over 50 words is left in one document at most.
+    assert max(max(chunk_words(t)[2], default=0) for _, t, _ in rows) <= chunking.MAX_WORDS
     seen = Counter()
     for r in out.values():
         words = WORD.findall(r.text)

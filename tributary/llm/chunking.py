@@ -37,6 +37,8 @@ from tributary.llm.textkit import BYTE_VALUES, NON_SPACE, TASK_BYTES, U64, Block
 
 #: Chunks hold 2 ** MASK_BITS words on average.
 MASK_BITS = 2
+#: A chunk ends after so many words at the latest; only words that repeat without a break get so far.
+MAX_WORDS = 32
 #: A run of marked chunks is cut from so many words on.
 MIN_WORDS = 20
 #: Text whose digests go to one range.
@@ -68,6 +70,10 @@ class Chunks:
         closes[self.firsts[1:][np.diff(self.firsts) > 0] - 1] = True
         stop = np.flatnonzero(closes) + 1
         begin = np.append(0, stop[:-1])[: len(stop)]
+        long = np.flatnonzero(stop - begin > MAX_WORDS)
+        if len(long):
+            stop = np.sort(np.concatenate([stop, *(np.arange(begin[k] + MAX_WORDS, stop[k], MAX_WORDS) for k in long.tolist())]))
+            begin = np.append(0, stop[:-1])
         self.begin, self.stop = begin, stop
         self.row = row[self.begin] if n else np.zeros(0, np.int64)
         # Digest: the words' hashes in order, as a polynomial over the words' places in the chunk.
