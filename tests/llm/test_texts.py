@@ -90,6 +90,13 @@ def test_cascade_is_exact(spark):
     assert keys.where(~url_cascade.is_listed(F.col("key"), everything)).count() == 0
 
 
+def test_a_list_too_large_is_joined(spark, monkeypatch):
+    pages = table(spark, SF, "pages")
+    want = sorted(map(tuple, url_cascade.filter_urls(pages).collect()))
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", 0)
+    assert sorted(map(tuple, url_cascade.filter_urls(pages).collect())) == want and any(w[5] for w in want)
+
+
 def test_url_filter_edges(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Adult-X.example.COM/a?b#c", "x://net", "x://a.net/", "x://notnet/", "x://example.net/en/1", "x://b.example.net/fr/", "x://m.example.com/de/x", "x://example.com?q=/de/", "x://é.org/fr/://y", "x://casino-win.example.org/fr/1", "x://" + "a" * 100_000]
     frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(None, urls[3], "clash")] * 2, "page_id long, url string, host string")

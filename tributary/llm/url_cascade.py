@@ -6,7 +6,8 @@ other keys that level 1 lets through, level 3 the listed keys that level 2
 lets through, and so on until nothing passes wrongly. A key is judged by the
 first level that rejects it, which is exact for every key of the universe, so
 the table is filtered by an expression, without a join. All of it is DataFrame
-functions; a level reaches the driver as its words, whose number is checked.
+functions; a level reaches the driver as its words, whose number is checked:
+a list too large for an expression is joined, with the same result.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with
 A-Z lower-cased; path: from there up to ``?``, ``#`` or the end.
@@ -31,7 +32,7 @@ from tributary.llm.textkit import cut
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: The list: domains that are blocked with all their subdomains.
 LISTED = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
-#: Words of 64 bits a level may have in a query's expression; larger ones are refused with an error.
+#: Words of 64 bits a level may have in a query's expression; beyond it the listed keys are joined instead.
 MOST_WORDS = 8 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,6 +51,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+class LevelTooLarge(ValueError):
+    """A level that no expression should hold."""
+
+
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: its bits as words of 64, and how many hashes a key has."""
@@ -85,7 +90,7 @@ def build_level(keys: DataFrame, number: int, many: int, rate: float) -> Level:
     bits = max(64, math.ceil(-many * math.log(rate) / math.log(2) ** 2))
     words = -(-bits // 64)
     if words > MOST_WORDS:
-        raise ValueError(f"level {number} needs {words} words; split the list, {MOST_WORDS} is the most an expression holds")
+        raise LevelTooLarge(f"level {number} needs {words} words; {MOST_WORDS} is the most an expression holds")
     hashes = max(1, round(64 * words / many * math.log(2)))
     at = F.explode(F.array(*positions(F.col("key"), number, hashes, 64 * words))).alias("at")
     rows = keys.select(at).groupBy(word_of(F.col("at")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
@@ -142,10 +147,15 @@ def rule_fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 def filter_urls(pages: DataFrame, listed: Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: host, path, the longest rule that fits, and the verdict: the rule's, else block for a listed host."""
     split = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    levels = build_cascade(cut(key_universe(split, listed)))
     host, path = F.col("host"), F.col("path")
-    rule, verdict = F.lit(None).cast("string"), F.when(is_listed(host, levels), F.lit("block")).otherwise(F.lit("allow"))
+    universe = cut(key_universe(split, listed), pages.count())
+    try:
+        member = is_listed(host, build_cascade(universe))
+    except LevelTooLarge:
+        split = split.join(universe.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_member")), host == F.col("_key"), "left")
+        member = F.coalesce("_member", F.lit(False))
+    rule, verdict = F.lit(None).cast("string"), F.when(member, F.lit("block")).otherwise(F.lit("allow"))
     for own in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):
         fits = rule_fits(host, path, own)
         rule, verdict = F.when(fits, F.lit(own[0] + own[1])).otherwise(rule), F.when(fits, F.lit(own[2])).otherwise(verdict)
-    return split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), is_listed(host, levels).alias("listed"))
+    return split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), member.alias("listed"))
