@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tributary.functions.dims import LEGAL_FORMS
 
 #: White space as Unicode has it; Java's \\s is ASCII only.
-SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+SPACES = r"\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space that isn't one plain space, which can stay as it is.
+ODD_SPACE = rf" *[\t-\r{SPACES}][\s{SPACES}]*| {{2,}}"
 UNPRINTABLE = r"[^\x{0020}-\x{007E}\x{00A0}-\x{FFFF}]"
 
 
@@ -19,8 +21,9 @@ def null_if_empty(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Single spaces, no control characters, trimmed; null if nothing is left. White space is collapsed before control characters go, so words on two lines stay two words."""
-    kept = F.regexp_replace(F.regexp_replace(c, SPACE, " "), UNPRINTABLE, "")
-    return null_if_empty(F.trim(F.regexp_replace(kept, " {2,}", " ")))
+    single = F.regexp_replace(c, ODD_SPACE, " ")
+    printable = F.regexp_replace(F.regexp_replace(single, UNPRINTABLE, ""), " {2,}", " ")
+    return null_if_empty(F.trim(F.when(single.rlike(UNPRINTABLE), printable).otherwise(single)))
 
 
 def capitalised(w: Column) -> Column:

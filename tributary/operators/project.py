@@ -118,8 +118,8 @@ def output_fields(as_of: Column) -> dict[str, Column]:
     }
 
 
-def project(records: DataFrame, config: OutputConfig = OutputConfig(), as_of: str | Column | None = None) -> DataFrame:
-    """entity_id and the shown fields. Only they are built: what isn't shown is never merged, as Catalyst prunes it."""
+def project(records: DataFrame, config: OutputConfig = OutputConfig(), as_of: str | Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """entity_id, columns to carry along, and the shown fields. Only they are built: what isn't shown is never merged, as Catalyst prunes it."""
     day = F.current_date() if as_of is None else F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
     every = output_fields(day)
     shown = [n for n in config.shown if n != "metadata" or "metadata" in records.columns]
@@ -129,7 +129,7 @@ def project(records: DataFrame, config: OutputConfig = OutputConfig(), as_of: st
             if n not in ("candidate_id", "confidence", "provenance", "metadata"):
                 low = F.coalesce(F.try_element_at(F.col("confidence.fields"), F.lit(n))["score"] < config.confidence_threshold, F.lit(False))
                 chosen[n] = F.when(~low, chosen[n])
-    return records.select("entity_id", *(c.alias(n) for n, c in chosen.items()))
+    return records.select("entity_id", *carry, *(c.alias(n) for n, c in chosen.items()))
 
 
 def member(c: Column, kind: str, null_handling: str) -> Column:
@@ -146,12 +146,12 @@ def member(c: Column, kind: str, null_handling: str) -> Column:
     return F.coalesce(F.when(c.isNotNull(), as_json), F.lit('""' if null_handling == "empty" else "null"))
 
 
-def render(projected: DataFrame, config: OutputConfig = OutputConfig()) -> DataFrame:
-    """(entity_id, json): the shown fields as one object; null handling holds for its members, not inside them."""
+def render(projected: DataFrame, config: OutputConfig = OutputConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(entity_id, carried columns, json): the shown fields as one object; null handling holds for its members, not inside them."""
     kinds = dict(projected.dtypes)
-    names = [n for n in projected.columns if n != "entity_id"]
+    names = [n for n in projected.columns if n not in ("entity_id", *carry)]
     parts = [F.when(m.isNotNull(), F.concat(F.lit(f'"{n}":'), m)) for n in names for m in [member(F.col(n), kinds[n], config.null_handling)]]
-    return projected.select("entity_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+    return projected.select("entity_id", *carry, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
 
 
 def pretty(json_text: str) -> bytes:

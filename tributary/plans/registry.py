@@ -678,4 +678,8 @@ def fuse_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = delimited.from_rows(rows, F.col("id"), F.lit("rows"))
     notes = prose.from_notes(customers.where("c_custkey % 4 = 0").withColumn("note", F.concat(F.lit("Name: Ann Lee\nLocation: Paris, France\nphone 415-555-0134, k8s, id "), k)), k, F.lit("notes"), F.col("note"))
     out = fuse(docs.unionByName(listed).unionByName(notes), as_of=AS_OF, metadata=False)
-    return out.json.join(out.summary, "entity_id").select("entity_id", "json", F.col("errors").cast("long").alias("errors"), F.col("warnings").cast("long").alias("warnings"))
+    # One pass over the profiles gives their JSON and the findings' counts.
+    n = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s)).cast("long")
+    counted = out.validated.withColumns({"errors": n(validate.ERROR), "warnings": n(validate.WARNING)})
+    carry = ("errors", "warnings")
+    return project.render(project.project(counted, out.config, AS_OF, carry), out.config, carry)
