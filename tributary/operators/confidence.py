@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from tributary.functions import dims
 from tributary.operators.merge import LISTS, SCALARS, compared, conflicting, with_value
 
+# How values are taken, and why they are selected.
 METHOD = "direct_field_mapping"
+SELECTED = "Selected value from highest-priority source '"
+DISAGREED, NO_CONFLICT = " sources disagreed)", "(no conflict)"
+FILLED = "Merged all location sources, filling missing fields"
+UNION = "Union merge across all sources with deduplication"
 CANDIDATE = "struct<source: string, extraction_method: string, value: string, confidence: double>"
 PROVENANCE = f"struct<field_name: string, selected: {CANDIDATE}, candidates: array<{CANDIDATE}>, conflict_resolved: boolean, resolution_reason: string>"
 CONFIDENCE = "struct<field_name: string, score: double, base_score: double, agreement_bonus: double, disagreement_penalty: double, sources_agreed: int, sources_disagreed: int, explanation: string>"
@@ -29,7 +34,7 @@ def scalar_provenance(records: Column, field: str) -> Column:
     conflict = conflicting(F.transform(held, lambda r: r[field].cast("string")))
     first = F.get(each, F.lit(0))
     reason = F.concat(
-        F.lit("Selected value from highest-priority source '"), first["source"], F.lit("' "), F.when(conflict, F.concat(F.lit("(conflict: "), F.size(held).cast("string"), F.lit(" sources disagreed)"))).otherwise("(no conflict)")
+        F.lit(SELECTED), first["source"], F.lit("' "), F.when(conflict, F.concat(F.lit("(conflict: "), F.size(held).cast("string"), F.lit(DISAGREED))).otherwise(NO_CONFLICT)
     )
     return F.when(F.size(held) > 0, F.struct(F.lit(field).alias("field_name"), first.alias("selected"), each.alias("candidates"), conflict.alias("conflict_resolved"), reason.alias("resolution_reason")).cast(PROVENANCE))
 
@@ -40,7 +45,7 @@ def location_provenance(records: Column, merged: Column) -> Column:
     each = F.transform(held, lambda r: candidate(r["source"], shown(r["location"], "location"), dims.weight(r["source"])))
     first = F.get(held, F.lit(0))["source"]
     chosen = candidate(first, shown(merged, "location"), dims.weight(first))
-    reason = F.lit("Merged all location sources, filling missing fields")
+    reason = F.lit(FILLED)
     return F.when(F.size(held) > 0, F.struct(F.lit("location").alias("field_name"), chosen.alias("selected"), each.alias("candidates"), F.lit(False).alias("conflict_resolved"), reason.alias("resolution_reason")).cast(PROVENANCE))
 
 
@@ -48,7 +53,7 @@ def list_provenance(field: str, values: Column) -> Column:
     """Lists are unions of all sources: no source is selected and none competes."""
     chosen = candidate(F.lit("unknown"), F.to_json(values), F.lit(1.0))
     none = F.array().cast(f"array<{CANDIDATE}>")
-    reason = F.lit("Union merge across all sources with deduplication")
+    reason = F.lit(UNION)
     return F.struct(F.lit(field).alias("field_name"), chosen.alias("selected"), none.alias("candidates"), F.lit(False).alias("conflict_resolved"), reason.alias("resolution_reason")).cast(PROVENANCE)
 
 

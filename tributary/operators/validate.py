@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 from tributary.functions import contact
 
 FINDING = "struct<severity: string, field: string, message: string, value: string>"
+# Severities, the earliest day a job may begin, and what findings say.
 ERROR, WARNING = "error", "warning"
 EARLIEST = "1950-01-01"
+NO_NAME = "Candidate has no name (full_name or first_name+last_name required)"
+NO_CONTACT = "No email addresses or phone numbers found"
+BAD_EMAIL = "Invalid email address format"
+BAD_PHONE = "Phone number is not in E.164 format"
+TOO_EARLY = "Unrealistic start date"
+ENDS_FIRST = "End date is before start date"
+IN_FUTURE = "Start date is in the future"
+LEFT_FIRST = "Graduation date is before enrollment date"
+BAD_GPA = "GPA must be between 0.0 and 4.0"
+BAD_LINK = "Social link URL is malformed"
+NOT_FILLED = "Recommended field '{}' is empty or missing"
 
 
 def finding(severity: str, field: Column | str, message: str, value: Column | None = None) -> Column:
@@ -30,21 +42,21 @@ def missing(c: Column) -> Column:
 
 def has_name(_: Column) -> Column:
     named = ~missing(F.col("full_name")) | (~missing(F.col("first_name")) & ~missing(F.col("last_name")))
-    return when(~named, finding(ERROR, "full_name", "Candidate has no name (full_name or first_name+last_name required)"))
+    return when(~named, finding(ERROR, "full_name", NO_NAME))
 
 
 def has_contact(_: Column) -> Column:
-    return when((F.size("emails") == 0) & (F.size("phones") == 0), finding(WARNING, "contact", "No email addresses or phone numbers found"))
+    return when((F.size("emails") == 0) & (F.size("phones") == 0), finding(WARNING, "contact", NO_CONTACT))
 
 
 def emails_valid(_: Column) -> Column:
     bad = F.filter("emails", lambda e: ~contact.is_email(e))
-    return F.transform(bad, lambda e: finding(ERROR, "emails", "Invalid email address format", e))
+    return F.transform(bad, lambda e: finding(ERROR, "emails", BAD_EMAIL, e))
 
 
 def phones_valid(_: Column) -> Column:
     bad = F.filter("phones", lambda p: ~p.rlike(contact.E164))
-    return F.transform(bad, lambda p: finding(WARNING, "phones", "Phone number is not in E.164 format", p))
+    return F.transform(bad, lambda p: finding(WARNING, "phones", BAD_PHONE, p))
 
 
 def place_in(name: str, i: Column, of: Column, what: str) -> Column:
@@ -57,9 +69,9 @@ def job_dates(as_of: Column) -> Column:
         at = lambda what: place_in("experience", i, x["company"], what)
         span = F.concat_ws(" > ", start.cast("string"), end.cast("string"))
         return F.concat(
-            when(start < F.lit(EARLIEST).cast("date"), finding(WARNING, at("start_date"), "Unrealistic start date", start)),
-            when(end < start, finding(ERROR, at("dates"), "End date is before start date", span)),
-            when(start > as_of, finding(WARNING, at("start_date"), "Start date is in the future", start)),
+            when(start < F.lit(EARLIEST).cast("date"), finding(WARNING, at("start_date"), TOO_EARLY, start)),
+            when(end < start, finding(ERROR, at("dates"), ENDS_FIRST, span)),
+            when(start > as_of, finding(WARNING, at("start_date"), IN_FUTURE, start)),
         )
 
     return F.flatten(F.transform("experience", each))
@@ -68,28 +80,28 @@ def job_dates(as_of: Column) -> Column:
 def school_dates(_: Column) -> Column:
     def each(x: Column, i: Column) -> Column:
         span = F.concat_ws(" > ", x["start_date"].cast("string"), x["end_date"].cast("string"))
-        return when(x["end_date"] < x["start_date"], finding(ERROR, place_in("education", i, x["institution"], "dates"), "Graduation date is before enrollment date", span))
+        return when(x["end_date"] < x["start_date"], finding(ERROR, place_in("education", i, x["institution"], "dates"), LEFT_FIRST, span))
 
     return F.flatten(F.transform("education", each))
 
 
 def gpa_range(_: Column) -> Column:
     def each(x: Column, i: Column) -> Column:
-        return when(~x["gpa"].between(0.0, 4.0), finding(ERROR, F.concat(F.lit("education["), i.cast("string"), F.lit("].gpa")), "GPA must be between 0.0 and 4.0", x["gpa"]))
+        return when(~x["gpa"].between(0.0, 4.0), finding(ERROR, F.concat(F.lit("education["), i.cast("string"), F.lit("].gpa")), BAD_GPA, x["gpa"]))
 
     return F.flatten(F.transform("education", each))
 
 
 def links_valid(_: Column) -> Column:
     def each(x: Column, i: Column) -> Column:
-        return when(~contact.is_url(x["url"]), finding(WARNING, F.concat(F.lit("social_links["), i.cast("string"), F.lit("].url")), "Social link URL is malformed", x["url"]))
+        return when(~contact.is_url(x["url"]), finding(WARNING, F.concat(F.lit("social_links["), i.cast("string"), F.lit("].url")), BAD_LINK, x["url"]))
 
     return F.flatten(F.transform("social_links", each))
 
 
 def complete(_: Column) -> Column:
     def rule(name: str, empty: Column) -> Column:
-        return when(empty, finding(WARNING, name, f"Recommended field '{name}' is empty or missing"))
+        return when(empty, finding(WARNING, name, NOT_FILLED.format(name)))
 
     return F.concat(rule("summary", missing(F.col("summary"))), *(rule(n, F.size(n) == 0) for n in ("skills", "experience", "education")))
 
