@@ -70,6 +70,8 @@ DECLARED = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar sidebar sidebars aside complementary widget widgets related recommended "
     "header masthead topbar footer foot contentinfo copyright share sharing social comment comments disqus respond reply replies form search newsletter subscribe subscription signup login skip".split()
 )
+#: Beginnings of such words.
+DECLARED_STARTS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "paginat", "sidebar", "sponsor", "subscri")
 ARTICLE = frozenset(["article", "main"])
 #: Elements that only hold others: the article may be one of them, but not one paragraph.
 CONTAINERS = frozenset(["html", "body", "div", "section", "center"])
@@ -270,7 +272,7 @@ def declared_out(label: str) -> bool:
     role, _, words = marks.partition("|")
     if role in ("main", "article"):
         return False
-    return role in DECLARED or any(w in DECLARED for x in words.split() for w in WORDS.findall(x))
+    return role in DECLARED or any(w in DECLARED or w.startswith(DECLARED_STARTS) for x in words.split() for w in WORDS.findall(x))
 
 
 def is_article(label: str) -> bool:
