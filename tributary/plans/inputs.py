@@ -29,7 +29,7 @@ def as_canonical(df: DataFrame, source: str, entity: Column, **columns: Column)
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records of customers from three sources that agree, differ and leave gaps."""
     k = F.col("c_custkey")
-    customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     mail = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))
     ats = as_canonical(
         customers.where("c_custkey % 5 <> 0"),

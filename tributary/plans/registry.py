@@ -162,7 +162,7 @@ def fuzzy_pairs_partname(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The stated set of distinct names, a few dozen whatever the scale.
     names = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", similarity.sorted_tokens(F.lower("p_name")).alias("s"))
     x, y = names.select(F.col("p_name").alias("left_name"), F.col("s").alias("a")), names.select(F.col("p_name").alias("right_name"), F.col("s").alias("b"))
-    pairs = x.join(F.broadcast(y), F.col("left_name") < F.col("right_name"))
+    pairs = x.join(lookups.small(y), F.col("left_name") < F.col("right_name"))
     return pairs.select("left_name", "right_name", F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
@@ -352,7 +352,7 @@ _COUNTRY_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in dims.COUNTRIES.items())
 
 @register(f"WITH dim(name, code) AS (VALUES {_COUNTRY_ROWS}) SELECT c_custkey, code FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN dim ON name = lower(n_name)")
 def country_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return customers.select("c_custkey", dims.lookup(dims.COUNTRIES, F.lower("n_name")).alias("code"))
 
 
@@ -369,7 +369,7 @@ CASE k WHEN 1 THEN CASE WHEN code IS NOT NULL THEN code WHEN s1.state IS NOT NUL
 FROM raw LEFT JOIN dim ON name = lower(n_name) LEFT JOIN st s1 ON s1.abbr = lower(n_name) LEFT JOIN st s2 ON s2.abbr = lower(substr(n_name, 1, 2)) LEFT JOIN (SELECT name AS n2, code AS c2 FROM dim) d2 ON d2.n2 = lower(substr(n_name, 1, 2))"""
 )
 def parse_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     found = customers.select("c_custkey", places.parse_place(F.expr(_PLACE)).alias("p"))
     return found.select("c_custkey", "p.city", "p.state", "p.country", F.col("p.country_code").alias("code"))
 
