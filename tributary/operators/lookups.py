@@ -49,16 +49,15 @@ def likest(names: DataFrame, dim: DataFrame, cutoff: float = SKILL) -> DataFrame
 
 
 def terms_by_join(texts: DataFrame, dim: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 3) -> DataFrame:
-    """(id, term) of dictionary terms that stand in texts as whole words: runs of words are looked up by equality, so cost follows the text and not text times dictionary."""
+    """(id, term) of dictionary terms of at most so many words that stand in texts as whole words. Every word of a text, with those after it, meets the terms that begin with it by equality, so cost follows the text and not text times dictionary."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    own = texts.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") > 0)
-
-    def runs(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
-        return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<string>"))
-
-    found = own.select("id", F.explode(F.array_distinct(F.concat(*(runs(n) for n in range(1, longest + 1))))).alias("term"))
-    return found.join(small(dim.select(F.col("alias").alias("term")).distinct()), "term", "left_semi").select("id", "term")
+    own = texts.select(F.col(id_col).alias("id"), words.alias("w"))
+    after = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - F.lit(k), F.lit(0))).alias(f"w{k}") for k in range(longest)]
+    rows = own.select("id", *after).select("id", F.explode(F.arrays_zip(*(f"w{k}" for k in range(longest)))).alias("at")).select("id", "at.*")
+    terms = dim.select(F.col("alias").alias("term")).distinct().select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("w0"), F.size(F.split("term", " ")).alias("n"))
+    met = rows.join(small(terms), "w0")
+    run = F.concat_ws(" ", *(F.when(F.col("n") > k, F.col(f"w{k}")) for k in range(longest)))
+    return met.where(run == F.col("term")).select("id", "term").distinct()
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
