@@ -90,6 +90,24 @@ def test_near_duplicates_of_an_original(spark):
     assert same_rows(out, brute_classes([d[:2] for d in docs]))
 
 
+def test_near_duplicates_differ_in_repeats(spark):
+    # Copies whose lines repeat a different number of times: their sets are alike, their counts are not.
+    texts = []
+    for g in range(40):
+        words, line = [f"g{g}w{i}" for i in range(160)], [f"g{g}r{i}" for i in range(40)]
+        texts += [" ".join(words + line * n) for n in ((2, 1000) if g else (2, 3, 40, 200, 1000, 3000))]
+    rng = random.Random(8)
+    group = [f"a{i}" for i in range(200)]
+    for text in variants(rng, group, 20, 0.01):
+        own = text.split(" ")
+        texts.append(" ".join(own + own[:40] * rng.choice((1, 2, 500))))
+    docs = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    out = minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
+    want = brute_classes([d[:2] for d in docs])
+    assert same_rows(out, want)
+    assert sum(w[3] > 1 for w in want) > 80
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, "a b"), (2, "A  b"), (2, "A  b"), (3, None), (4, ""), (5, " "), (None, "a b"), (None, "q r s t u v"), (6, long), (7, long + " end"), (8, "x"), (8, "y")]

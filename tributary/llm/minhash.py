@@ -1,12 +1,12 @@
 """Near-duplicate groups by ProbMinHash signatures, banding and verification.
 
 Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased make shingles of five words
-(a shorter text is one shingle), weighted by 1 + ln(count). Every shingle is a
-Poisson process whose rate is its weight; an arrival falls on a random
-component of the signature, which keeps its earliest arrival. A shingle stops
-as soon as its next arrival is later than the signature's latest component.
+(a shorter text is one shingle); a text's distinct shingles weigh 1 each. Every
+shingle is a Poisson process whose rate is its weight; an arrival falls on a
+random component of the signature, which keeps its earliest arrival. A shingle
+stops as soon as its next arrival is later than the signature's latest component.
 Equal components estimate the probability Jaccard similarity, which on equal
-weights is the Jaccard similarity of the shingle sets.
+weights is the Jaccard similarity of the shingle sets, the one that is verified.
 
 Bands of components give buckets. Verification computes the Jaccard similarity
 of the whole shingle sets; a link is 0.8 or more, and classes are the connected
@@ -127,8 +127,8 @@ def sketches(docs: DataFrame) -> DataFrame:
         powers = Powers()
         for batch in batches:
             for lo, hi, block in blocks(batch.column(2), powers):
-                hashes, counts, firsts = distinct(*shingles(block))
-                signature = prob_minhash(hashes, 1.0 + np.log(counts), firsts)
+                hashes, _, firsts = distinct(*shingles(block))
+                signature = prob_minhash(hashes, np.ones(len(hashes)), firsts)
                 some = np.diff(firsts) > 0
                 bands = band_hashes(signature).view(np.int64)
                 width = np.where(some, BANDS, 0)
