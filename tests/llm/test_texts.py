@@ -64,6 +64,27 @@ def test_extraction_edges(spark):
     assert wrappers.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div style="overflow:hidden"><article>{}</article></div>',
+        '<article><p title="the hidden river">one two</p><p data-id="comment-3">three</p><p data-role="footer">four</p></article>',
+        '<div class="content has-sidebar"><article>{}</article></div>',
+        '<div class="wrap no-banner"><div id="with-comments"><article>{}</article></div></div>',
+        '<article><section id="related-work"><p>one two</p></section><p class="share-price">three</p><p>four</p></article>',
+        '<form id="aspnetForm"><nav>Home</nav><div class="overlay"><article>{}</article></div></form>',
+        '<div class="popup">{}</div><p>x</p>',
+        '<div class="site-header">Home</div><article>{}<div id="comment-3">First!</div></article><div class="related-posts"><article>Other</article></div>',
+        '<p>one two</p><p>three</p><p>four</p><div id="comments"><p>A reader has much more to say than the article</div>',
+        '<p hidden>secret</p><p aria-hidden=true>secret</p><div class="top-menu">Home</div><p>one two</p><p>three</p><p>four</p>',
+    ],
+)
+def test_marks_are_whole_classes_of_their_own_attributes(page):
+    html = page.format("<p>one two</p><p>three</p><p>four</p>")
+    got = wrappers.text_of(html, wrappers.Wrapper.of(wrappers.parse(html)))
+    assert re.sub(r"\n\nx$", "", got) == "one two\n\nthree\n\nfour"
+
+
 def test_alignment_makes_slots_options_and_groups():
     a = wrappers.Wrapper.of(wrappers.parse("<div>site</div><p>one</p><hr><p>same</p>"))
     a.add(wrappers.Wrapper.of(wrappers.parse("<div>site</div><p>two</p><p>three</p><ul><li>x<li>y</ul>")))

@@ -14,9 +14,11 @@ is no more than one small wrapper per task after the first stage.
 The wrapper says which part of the template holds the article: the declared
 one (article, main, role main), else the element that keeps most of the
 slots' text. Elements that declare themselves menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments are left out, and outside
-a declared article also texts that the host's pages have in common. A page is
-then read through its host's wrapper.
+sidebars, notices, adverts, forms or reader comments are left out, by their name,
+their role or a class or id that consists of such words alone, unless such a
+form, class or id would take most of a page without another article. Outside
+a declared article texts that the host's pages have in common go as well. A page
+is then read through its host's wrapper.
 
 Defined results: null or empty html gives an empty text; a null url counts as
 host ''; a page that its wrapper doesn't match is judged by declarations alone;
@@ -72,14 +74,18 @@ DECLARED = frozenset(
 )
 #: Beginnings of such words.
 DECLARED_STARTS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "paginat", "sidebar", "sponsor", "subscri")
+#: Words that may stand beside such words in one class or id; with any other (has-sidebar, related-work) it declares nothing.
+BESIDE = frozenset("site page top bottom left right main global primary secondary list lists item items box wrap wrapper container inner outer bar area links posts thread slot unit".split())
+#: Words of reader comments, which may well be longer than the article.
+READERS = frozenset("comment comments disqus respond reply replies".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements that only hold others: the article may be one of them, but not one paragraph.
 CONTAINERS = frozenset(["html", "body", "div", "section", "center"])
 
 REMOVED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
-WORDS = re.compile(r"[a-z]+")
+ATTRIBUTES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Node:
@@ -108,7 +114,7 @@ def label_of(name: str, attributes: str) -> str:
     if not attributes.strip():
         return name
     role, words = "", []
-    for m in MARKS.finditer(attributes):
+    for m in ATTRIBUTES.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "role":
             role = value.strip()
@@ -272,7 +278,13 @@ def declared_out(label: str) -> bool:
     role, _, words = marks.partition("|")
     if role in ("main", "article"):
         return False
-    return role in DECLARED or any(w in DECLARED or w.startswith(DECLARED_STARTS) for x in words.split() for w in WORDS.findall(x))
+    return role in DECLARED or any(map(says_out, words.split()))
+
+
+def says_out(token: str) -> bool:
+    """Whether a class or id consists of words that declare what isn't the article, and of words that go with them."""
+    rest = [w for w in WORDS.findall(token) if w not in BESIDE]
+    return bool(rest) and all(w in DECLARED or w.startswith(DECLARED_STARTS) for w in rest)
 
 
 def is_article(label: str) -> bool:
@@ -280,48 +292,80 @@ def is_article(label: str) -> bool:
     return name in ARTICLE or marks.partition("|")[0] in ("main", "article")
 
 
-def slot_chars(node: Node, template: bool) -> int:
+def slot_chars(node: Node, template: bool, spared: frozenset[int] | set[int] = frozenset()) -> int:
     """Characters of the texts in a group that aren't template."""
     if node.label is None:
         return 0 if template and node.text is not None else node.chars
-    return 0 if declared_out(node.label) else sum(slot_chars(k, template) for k in node.kids)
+    return 0 if declared_out(node.label) and id(node) not in spared else sum(slot_chars(k, template, spared) for k in node.kids)
+
+
+def spare(scope: Node, template: bool) -> set[int]:
+    """Groups that declare themselves out by class, id or as a form, but hold more text than all the rest, which has no article."""
+    out: list[Node] = []
+
+    def look(node: Node) -> bool:
+        """Whether there is an article; what is declared out is put aside."""
+        found = False
+        for kid in node.kids:
+            if kid.label is None:
+                continue
+            if declared_out(kid.label):
+                out.append(kid)
+            else:
+                found |= is_article(kid.label) and slot_chars(kid, False) > 0 or look(kid)
+        return found
+
+    if look(scope):
+        return set()
+    rest, most, spared = sum(slot_chars(k, template) for k in scope.kids), 0, set()
+    for node in out:
+        name, _, marks = node.label.partition("|")
+        readers = not READERS.isdisjoint(WORDS.findall(marks))
+        if name in LEFT_OUT and name != "form" or readers and rest:
+            continue
+        own = spare(node, template)
+        held = sum(slot_chars(k, template, own) for k in node.kids)
+        if held > max(rest, most):
+            most, spared = held, own | {id(node)}
+    return spared
 
 
-def region(wrapper: Wrapper) -> tuple[list[Node], bool]:
-    """The groups that hold the article, and whether they are declared."""
+def region(wrapper: Wrapper) -> tuple[list[Node], bool, set[int]]:
+    """The groups that hold the article, whether they are declared, and groups to be read although they declare themselves out."""
     template = len(wrapper.prints) >= SHOWN
     declared: list[Node] = []
+    spared = spare(wrapper.root, template)
 
     def look(node: Node) -> None:
         for kid in node.kids:
-            if kid.label is None or declared_out(kid.label):
+            if kid.label is None or declared_out(kid.label) and id(kid) not in spared:
                 continue
             if is_article(kid.label):
                 inner = len(declared)
                 look(kid)
                 # The innermost that still holds most of it: an article inside main.
-                held = sum(slot_chars(x, False) for x in declared[inner:])
-                if held < SHARE * slot_chars(kid, False) or held == 0:
+                held = sum(slot_chars(x, False, spared) for x in declared[inner:])
+                if held < SHARE * slot_chars(kid, False, spared) or held == 0:
                     del declared[inner:]
                     declared.append(kid)
             else:
                 look(kid)
 
     look(wrapper.root)
-    if sum(slot_chars(x, False) for x in declared):
-        return declared, True
+    if sum(slot_chars(x, False, spared) for x in declared):
+        return declared, True, spared
     node = wrapper.root
     while True:
-        total = slot_chars(node, template)
-        inner = [k for k in node.kids if k.label is not None and k.label.split("|", 1)[0] in CONTAINERS and slot_chars(k, template) >= 0.8 * total]
+        total = slot_chars(node, template, spared)
+        inner = [k for k in node.kids if k.label is not None and k.label.split("|", 1)[0] in CONTAINERS and slot_chars(k, template, spared) >= 0.8 * total]
         if not total or not inner:
-            return [node], False
-        node = max(inner, key=lambda k: slot_chars(k, template))
+            return [node], False, spared
+        node = max(inner, key=lambda k: slot_chars(k, template, spared))
 
 
 def read(page: Node, wrapper: Wrapper) -> str:
     """The page's blocks inside the wrapper's article, in order."""
-    inside, declared = region(wrapper)
+    inside, declared, spared = region(wrapper)
     chosen = {id(x) for x in inside}
     template = len(wrapper.prints) >= SHOWN
     blocks: list[str] = []
@@ -332,7 +376,7 @@ def read(page: Node, wrapper: Wrapper) -> str:
                 common = not declared and template and group is not None and group.text is not None and not group.optional
                 if taken and not common:
                     blocks.append(kid.text)
-            elif not declared_out(kid.label):
+            elif not declared_out(kid.label) or id(group) in spared:
                 own = taken or (id(group) in chosen if group is not None else is_article(kid.label))
                 walk(kid.kids, group.kids if group is not None else None, own)
 
