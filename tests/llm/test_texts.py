@@ -85,6 +85,23 @@ def test_marks_are_whole_classes_of_their_own_attributes(page):
     assert re.sub(r"\n\nx$", "", got) == "one two\n\nthree\n\nfour"
 
 
+@pytest.mark.parametrize("n", [1, 9])
+def test_no_part_of_an_article_is_too_small(n):
+    def both(i):
+        parts = [f"long {i} " + "word " * 170 + "end", f"short {i} " + "word " * 25 + "end", "seen once" if i == 0 else ""]
+        extra = f"<div class=c><p>{parts[2]}</p></div>" if parts[2] else ""
+        plain = f"<body><div><div class=a><div class=x><p>{parts[0]}</div></div><div class=b><p>{parts[1]}</div></div>{extra}</body>"
+        nested = f"<main><article><p>{parts[0]}</article><section><p>{parts[1]}</section>{extra}<aside>no</aside></main>"
+        return "\n\n".join(x for x in parts if x), plain, nested
+
+    pages = [both(i) for i in range(n)]
+    for k in (1, 2):
+        wrapper = wrappers.Wrapper.of(wrappers.parse(pages[0][k]))
+        for page in pages[1:]:
+            wrapper.add(wrappers.Wrapper.of(wrappers.parse(page[k])))
+        assert [wrappers.text_of(p[k], wrapper) for p in pages] == [p[0] for p in pages]
+
+
 def test_alignment_makes_slots_options_and_groups():
     a = wrappers.Wrapper.of(wrappers.parse("<div>site</div><p>one</p><hr><p>same</p>"))
     a.add(wrappers.Wrapper.of(wrappers.parse("<div>site</div><p>two</p><p>three</p><ul><li>x<li>y</ul>")))

@@ -12,12 +12,12 @@ folded again in two steps: all pages count, and a host of a third of all rows
 is no more than one small wrapper per task after the first stage.
 
 The wrapper says which part of the template holds the article: the declared
-one (article, main, role main), else the element that keeps most of the
-slots' text. Elements that declare themselves menus, headers, footers,
+one (article, main, role main; the outer one of nested ones), else the whole
+page. Elements that declare themselves menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments are left out, by their name,
 their role or a class or id that consists of such words alone, unless such a
 form, class or id would take most of a page without another article. Outside
-a declared article texts that the host's pages have in common go as well. A page
+a declared article texts that several of the host's pages have in common go as well. A page
 is then read through its host's wrapper.
 
 Defined results: null or empty html gives an empty text; a null url counts as
@@ -48,8 +48,6 @@ MOST_HOSTS = 2_000
 MOST_BROADCAST = 32 << 20
 #: Tasks' wrappers of a host are folded in so many groups, then those.
 SALTS = 32
-#: A declared part must hold this share of the page's slots, else the largest element is taken.
-SHARE = 0.5
 
 #: Names of elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -79,8 +77,6 @@ BESIDE = frozenset("site page top bottom left right main global primary secondar
 #: Words of reader comments, which may well be longer than the article.
 READERS = frozenset("comment comments disqus respond reply replies".split())
 ARTICLE = frozenset(["article", "main"])
-#: Elements that only hold others: the article may be one of them, but not one paragraph.
-CONTAINERS = frozenset(["html", "body", "div", "section", "center"])
 
 REMOVED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -292,10 +288,15 @@ def is_article(label: str) -> bool:
     return name in ARTICLE or marks.partition("|")[0] in ("main", "article")
 
 
+def shared(text: Node) -> bool:
+    """Whether a text is the same on all pages that have it, and these aren't a few."""
+    return text.text is not None and not text.optional and text.pages >= SHOWN
+
+
 def slot_chars(node: Node, template: bool, spared: frozenset[int] | set[int] = frozenset()) -> int:
     """Characters of the texts in a group that aren't template."""
     if node.label is None:
-        return 0 if template and node.text is not None else node.chars
+        return 0 if template and shared(node) else node.chars
     return 0 if declared_out(node.label) and id(node) not in spared else sum(slot_chars(k, template, spared) for k in node.kids)
 
 
@@ -341,26 +342,14 @@ def region(wrapper: Wrapper) -> tuple[list[Node], bool, set[int]]:
             if kid.label is None or declared_out(kid.label) and id(kid) not in spared:
                 continue
             if is_article(kid.label):
-                inner = len(declared)
-                look(kid)
-                # The innermost that still holds most of it: an article inside main.
-                held = sum(slot_chars(x, False, spared) for x in declared[inner:])
-                if held < SHARE * slot_chars(kid, False, spared) or held == 0:
-                    del declared[inner:]
-                    declared.append(kid)
+                declared.append(kid)
             else:
                 look(kid)
 
     look(wrapper.root)
     if sum(slot_chars(x, False, spared) for x in declared):
         return declared, True, spared
-    node = wrapper.root
-    while True:
-        total = slot_chars(node, template, spared)
-        inner = [k for k in node.kids if k.label is not None and k.label.split("|", 1)[0] in CONTAINERS and slot_chars(k, template, spared) >= 0.8 * total]
-        if not total or not inner:
-            return [node], False, spared
-        node = max(inner, key=lambda k: slot_chars(k, template, spared))
+    return [wrapper.root], False, spared
 
 
 def read(page: Node, wrapper: Wrapper) -> str:
@@ -373,7 +362,7 @@ def read(page: Node, wrapper: Wrapper) -> str:
     def walk(kids: list[Node], groups: list[Node] | None, taken: bool) -> None:
         for kid, group in matched(kids, groups):
             if kid.label is None:
-                common = not declared and template and group is not None and group.text is not None and not group.optional
+                common = not declared and template and group is not None and shared(group)
                 if taken and not common:
                     blocks.append(kid.text)
             elif not declared_out(kid.label) or id(group) in spared:
