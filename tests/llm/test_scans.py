@@ -208,6 +208,49 @@ def test_licences_against_all_templates(spark):
     assert found
 
 
+def test_licences_inside_lines_and_comments(spark):
+    def block(text, sign, width):
+        words = text.split()
+        return "\n".join(f"{sign} {' '.join(words[i : i + width])}" for i in range(0, len(words), width))
+
+    mit, gpl = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["GPL-3.0"][1]
+    about = "Copyright 2020 some people who wrote this program in their time"
+    texts = [
+        "Prose before. Licensed under the MIT License. Prose after it goes on.",
+        f"/*\n{block(about + ' ' + mit + ' THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, ' * 1, ' *', 9)}\n */\nint main() {{ return 0; }}",
+        f"# program.py - does a thing that programs do\n#\n{block(about, '#', 8)}\n#\n{block(gpl, '#', 8)}\n#\n# You should have received a copy along with it\nimport os",
+        f"{about}. All rights reserved. {mit}",
+        "It is licensed under CC BY 4.0 and, in part, released under the MIT license as well.",
+        "all rights reserved " * 20_000,
+        "He had all the rights, reserved as he was, under the license of the poets.",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in licences.scan_licences(frame).collect()}
+    assert [out[i].licences for i in range(7)] == [["MIT"], ["MIT"], ["GPL-3.0"], ["MIT", "Proprietary"], ["CC-BY-4.0", "MIT"], ["Proprietary"], []]
+    assert out[0].passage == "Licensed under the MIT License" and out[0].dice == 1.0
+
+
+def test_licence_windows_against_all_spans(spark):
+    rng = random.Random(6)
+    small = {name: [t for t in own if len(t) < 90] for name, own in licences.TEMPLATES.items()}
+    pool = [ITEM_WORD.findall(t.translate(LOWER)) for own in small.values() for t in own]
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(3):
+            notice = [w for w in rng.choice(pool) if rng.random() > 0.06]
+            words += [rng.choice(["the", "of", "so", "under", "x"]) for _ in range(rng.randint(0, 6))] + notice
+        texts.append(" ".join(words if rng.random() < 0.7 else words[:4]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in licences.scan_licences(frame, small).collect()}
+    own = [grams(t) for ts in small.values() for t in ts]
+    for i, text in enumerate(texts):
+        pairs = list(zip(text.split(), text.split()[1:], strict=False))
+        best = max((dice(set(pairs[a:b]), t) for a in range(len(pairs)) for b in range(a + 1, min(len(pairs), a + 30) + 1) for t in own), default=0)
+        assert (out[i].n_matches > 0) == (best >= licences.THRESHOLD - 1e-12), text
+    assert 0 < sum(r.n_matches > 0 for r in out.values()) < len(texts)
+
+
 def test_licences_edges(spark):
     long = licences.TEMPLATES["MIT"][2]
     wrapped = long.replace("to deal in", "to\ndeal in").upper()

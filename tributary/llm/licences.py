@@ -7,6 +7,11 @@ only those whose size lets the coefficient reach the threshold are compared:
 2 min(a, b) / (a + b) bounds it. Passages are first reduced to their bigrams
 that some template has, so passages without one cost nothing more.
 
+Notices inside a longer line, or over lines among others, are found in windows:
+spans of the text's bigrams, whatever its lines, that begin and end with one of
+the template's. What a passage shares with the template it matches counts for no
+window, nor does what a better window shares, so a notice counts once.
+
 Defined results: null and empty texts match nothing; of equal coefficients the
 template first in name order wins; repeated rows are judged one by one.
 """
@@ -83,6 +88,9 @@ class Templates:
         self.sets = sorted((x for x in pairs if len(x[0])), key=lambda x: (len(x[0]), x[1]))
         self.sizes = np.array([len(s) for s, _ in self.sets], dtype=np.int64)
         self.known = np.unique(np.concatenate([s for s, _ in self.sets])) if self.sets else np.zeros(0, U64)
+        self.holds = np.array([np.isin(self.known, s) for s, _ in self.sets]).reshape(len(self.sets), len(self.known)).T
+        #: A span needs so many of a template's bigrams: 2 c / (d + a) >= t, and d >= c.
+        self.least = np.ceil(self.sizes * threshold / (2 - threshold) - 1e-9)
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.known & U64(0xFFFF)).astype(np.int64)] = True
 
@@ -94,8 +102,8 @@ class Templates:
             out[at] = self.known[place] == hashes[at]
         return out
 
-    def best(self, known: np.ndarray, size: int) -> tuple[float, str] | None:
-        """Highest coefficient of a passage of so many distinct bigrams, of which known are some template's."""
+    def best(self, known: np.ndarray, size: int) -> tuple[float, str, int] | None:
+        """Highest coefficient of a passage of so many distinct bigrams, of which known are some template's, and the template."""
         # 2 min(a, b) / (a + b) >= t: b between a t / (2 - t) and a (2 - t) / t.
         low, high = size * self.threshold / (2 - self.threshold), size * (2 - self.threshold) / self.threshold
         found = None
@@ -103,9 +111,49 @@ class Templates:
             own, name = self.sets[k]
             dice = 2.0 * len(np.intersect1d(known, own, assume_unique=True)) / (size + len(own))
             if dice >= self.threshold - 1e-12 and (found is None or (-dice, name) < (-found[0], found[1])):
-                found = (dice, name)
+                found = (dice, name, k)
         return found
 
+    def windows(self, hashes: np.ndarray, known: np.ndarray, taken: np.ndarray) -> list[tuple[float, str, int, int]]:
+        """(coefficient, name, first, last) of spans of a text's bigrams that match, without bigrams that are taken; these are marked."""
+        at = np.flatnonzero(known & ~taken)
+        kinds = np.searchsorted(self.known, hashes[at])
+        likely = np.flatnonzero(self.holds[np.unique(kinds)].sum(axis=0) >= self.least)
+        if not len(likely):
+            return []
+        order = np.argsort(hashes, kind="stable")
+        same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+        before, after = np.full(len(hashes), -1), np.full(len(hashes), len(hashes))
+        before[order[same + 1]], after[order[same]] = order[same], order[same + 1]
+        spans = []
+        for k in likely.tolist():
+            size, most = len(self.sets[k][0]), self.sizes[k] * (2 - self.threshold) / self.threshold + 1e-9
+            hit = np.zeros(len(hashes), dtype=bool)
+            hit[at[self.holds[kinds, k]]] = True
+            for first in np.flatnonzero(hit).tolist():
+                # A span that holds its first bigram again is no better than what is left without the first.
+                end, width = int(after[first]), int(most) + 1
+                while True:
+                    stop = min(end, first + width)
+                    fresh = before[first:stop] < first
+                    different = np.cumsum(fresh)
+                    if stop == end or different[-1] > most:
+                        break
+                    width *= 2
+                dice = 2.0 * np.cumsum(fresh & hit[first:stop]) / (different + size)
+                last = int(np.argmax(dice))
+                if dice[last] >= self.threshold - 1e-12:
+                    spans.append((-float(dice[last]), self.sets[k][1], first, first + last, k))
+        out = []
+        for _, name, first, last, k in sorted(spans):
+            own = np.isin(hashes[first : last + 1], self.sets[k][0])
+            free = own & ~taken[first : last + 1]
+            dice = 2.0 * len(np.unique(hashes[first : last + 1][free])) / (len(np.unique(hashes[first : last + 1])) + len(self.sets[k][0]))
+            if dice >= self.threshold - 1e-12:
+                taken[first : last + 1] |= own
+                out.append((dice, name, first, last))
+        return out
+
 
 def passages(data: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
     """Byte ranges of a text's lines, paragraphs of several lines, and the whole text."""
@@ -141,6 +189,8 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                 some = known.is_known(hashes)
                 rows = np.unique(np.searchsorted(block.offs, place[some], side="right") - 1)
                 for row in rows.tolist():
+                    left, right = np.searchsorted(place, block.offs[row : row + 2]).tolist()
+                    taken = np.zeros(right - left, dtype=bool)
                     for b, e in passages(block.data, int(block.offs[row]), int(block.offs[row + 1])):
                         i, j = int(np.searchsorted(place, b)), int(np.searchsorted(last, e, side="right"))
                         own = some[i:j]
@@ -153,6 +203,10 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                         match = known.best(hits, len(np.unique(hashes[i:j])))
                         if match:
                             found[lo + row].append((-match[0], match[1], b, block.text(b, e)))
+                            taken[i - left : j - left] |= np.isin(hashes[i:j], known.sets[match[2]][0])
+                    for coefficient, name, i, j in known.windows(hashes[left:right], some[left:right], taken):
+                        b, e = int(place[left + i]), int(last[left + j])
+                        found[lo + row].append((-coefficient, name, b, block.text(b, e)))
             best = [min(x) if x else None for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
