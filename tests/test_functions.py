@@ -96,7 +96,9 @@ def test_skills(spark):
     check(spark, skills.normal_skills, [(["python3", "reactjs", "k8s"], ["Python", "React", "Kubernetes"]), (["Pythn", "python", "weaving loom"], ["Python", "Weaving Loom"]), (["", None], []), (None, [])], "array<string>")
     table = skills.alias_table()
     assert table["scrum"] == "Scrum" and table["vuejs"] == "Vue.js" and table["c++17"] == "C++" and table["java 11"] == "Java" and table["spark"] == "Apache Spark" and table["kafka"] == "Apache Kafka"
-    assert len(skills.skill_aliases()) == 74
+    assert len(skills.SKILLS) == 74 and sum(map(len, skills.SKILLS.values())) == 203
+    pairs = [("Agile", ["agile methodology", "agile scrum", "scrum"]), ("Angular", ["angularjs", "angular js", "angular2", "angular 2", "angular 12", "angular 14"]), ("Weaving", []), (None, [])]
+    check(spark, skills.aliases_of, pairs)
 
 
 @settings(max_examples=200, deadline=None)

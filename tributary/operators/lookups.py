@@ -48,15 +48,26 @@ def likest(names: DataFrame, dim: DataFrame, cutoff: float = SKILL) -> DataFrame
     return best.select("key", "best.name", "best.score")
 
 
-def terms_by_join(texts: DataFrame, dim: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 3) -> DataFrame:
-    """(id, term) of dictionary terms of at most so many words that stand in texts as whole words. Every word of a text, with those after it, meets the terms that begin with it by equality, so cost follows the text and not text times dictionary."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    own = texts.select(F.col(id_col).alias("id"), words.alias("w"))
-    after = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - F.lit(k), F.lit(0))).alias(f"w{k}") for k in range(longest)]
-    rows = own.select("id", *after).select("id", F.explode(F.arrays_zip(*(f"w{k}" for k in range(longest)))).alias("at")).select("id", "at.*")
-    terms = dim.select(F.col("alias").alias("term")).distinct().select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("w0"), F.size(F.split("term", " ")).alias("n"))
-    met = rows.join(small(terms), "w0")
-    run = F.concat_ws(" ", *(F.when(F.col("n") > k, F.col(f"w{k}")) for k in range(longest)))
+#: Pieces between word boundaries: runs of word characters and runs of others.
+PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+
+
+def terms_by_join(texts: DataFrame, dim: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term) of dictionary terms that stand in texts between word boundaries, whatever characters they hold and however long they are.
+
+    Texts and terms are cut at word boundaries. Every piece of a text, with those
+    after it, meets the terms that begin with it by equality, so cost follows the
+    text and not text times dictionary.
+    """
+    pieces = lambda c: F.regexp_extract_all(F.lower(c), F.lit(PIECES), F.lit(0))
+    terms = small(dim.select(F.lower("alias").alias("term"), pieces(F.col("alias")).alias("own")).distinct().select("term", F.get("own", F.lit(0)).alias("head"), F.size("own").alias("n")).where("n > 0"))
+    longest = terms.agg(F.max("n")).first()[0] or 0
+    # All pieces, and beside them those k further on: a slice per piece would copy the text each time.
+    ahead = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - F.lit(k), F.lit(0))).alias(f"w{k}") for k in range(max(1, longest))]
+    rows = texts.select(F.col(id_col).alias("id"), pieces(F.col(text_col)).alias("w")).select("id", *ahead)
+    each = rows.select("id", F.explode(F.arrays_zip(*(f"w{k}" for k in range(max(1, longest))))).alias("at")).select("id", "at.*")
+    met = each.join(terms, F.col("w0") == F.col("head"))
+    run = F.concat_ws("", *(F.when(F.col("n") > k, F.col(f"w{k}")) for k in range(longest)))
     return met.where(run == F.col("term")).select("id", "term").distinct()
 
 

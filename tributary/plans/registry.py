@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -323,12 +324,19 @@ def url_path_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Dictionaries ------------------------------------------------------------------------------------------------
 
-_TERMS = ("the", "es", "r", "go", "of the", "in the", "de la", "und", "idiot", "por que la", "licensed under the", "mit license")
+# The skill dictionary, and terms of the texts' languages.
+_TERMS = sorted({*skills.alias_table(), "the", "of the", "in the", "de la", "und", "idiot", "por que la", "licensed under the", "mit license", "under the mit license. ", "-- "})
+
+
+def _pieces(term: str) -> str:
+    """A term's pieces between word boundaries, for SQL."""
+    return "chr(1)".join(f"'{x}'" for x in re.findall(r"\w+|\W+", term)).replace("chr(1)", " || chr(1) || ")
 
 
 @register(
-    f"""WITH terms(term) AS (VALUES {", ".join(f"('{t}')" for t in _TERMS)}), ws AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS w FROM documents)
-SELECT doc_id AS id, term FROM ws, terms WHERE contains(w, ' ' || term || ' ')"""
+    f"""WITH terms(term, pieces) AS (VALUES {", ".join(f"('{t}', {_pieces(t)})" for t in _TERMS)}),
+ws AS (SELECT doc_id, chr(1) || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), chr(1)) || chr(1) AS w FROM documents)
+SELECT doc_id AS id, term FROM ws, terms WHERE contains(w, chr(1) || pieces || chr(1))"""
 )
 def term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.terms_by_join(table(spark, sf_dir, "documents"), lookups.dictionary(spark, {t: t for t in _TERMS}))

@@ -53,7 +53,7 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 def terms_in(text: Column, terms: list[str]) -> Column:
     """Terms of a dictionary that stand in a text between word boundaries, in order of the dictionary. The text is searched as a whole for each term before any pattern runs, so few patterns do."""
     low = F.lower(text)
-    return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(low, t) & F.rlike(low, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b"))))
+    return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(low, t) & F.rlike(low, F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b"))))
 
 
 def from_notes(rows: DataFrame, entity: Column, path: Column, text: Column, terms: list[str] | None = None) -> DataFrame:
