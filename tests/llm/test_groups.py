@@ -1,5 +1,6 @@
 """Operators that compare rows: near-duplicates, substring dedup, mixing."""
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 
 from tributary.llm import chunking, cube, minhash
 from tributary.llm.queries import table
-from tributary.llm.textkit import Powers, blocks
+from tributary.llm.textkit import BYTE_VALUES, NON_SPACE, Powers, blocks, mix
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,40 +141,68 @@ def test_signatures_estimate_probability_jaccard():
     assert np.mean(equal) == pytest.approx(exact, abs=0.02)
 
 
-def chunk_words(text):
-    for _, _, block in blocks(pa.array([text or ""]), Powers()):
-        c = chunking.Chunks(block)
-        return [block.text(c.starts[b], c.ends[e - 1]) for b, e in zip(c.begin, c.stop, strict=True)], c.digest.tolist(), (c.stop - c.begin).tolist()
+def brute_chunks(words):
+    """(first word, end) of every chunk of a list of words, by the rule alone: a boundary follows a word where two bits of the gear sum of four words are zero, and where 32 words had none."""
+    hashes = []
+    for _, _, block in blocks(pa.array([" ".join(words)]), Powers()):
+        starts, ends, _ = block.words(NON_SPACE)
+        hashes = [int(h) for h in mix(block.span_hash(block.prefix(BYTE_VALUES), starts, ends) ^ np.uint64(0xC2B2AE3D27D4EB4F))]
+    bounds = [0]
+    for i in range(len(words)):
+        if i - bounds[-1] == 32:
+            bounds.append(i)
+        if i >= 3 and not sum(hashes[i - k] << k for k in range(4)) & 0b1100:
+            bounds.append(i + 1)
+    bounds = sorted({*bounds, len(words)})
+    out = [(b, next(e for e in bounds if e >= b + 20)) for b in bounds if b + 20 <= len(words)]
+    return out if not out or out[-1][1] == len(words) else [*out, (out[-1][0], len(words))]
 
 
 def brute_cuts(rows):
-    """Marked runs by a plain dictionary of digests."""
-    chunks = [chunk_words(t) for _, t, _ in rows]
-    least = {}
-    for (_, _, key), (_, digests, _) in zip(rows, chunks, strict=True):
-        for d in digests:
-            least[d] = min(least.get(d, key), key)
+    """The words that each of the rows (id, text, key) loses, with dictionaries of the chunks' words."""
+    texts = [WORD.findall(t or "") for _, t, _ in rows]
+    chunks = [{(b, e): tuple(w[b:e]) for b, e in brute_chunks(w)} for w in texts]
+    holders = defaultdict(set)
+    for (_, _, key), own in zip(rows, chunks, strict=True):
+        for words in own.values():
+            holders[words].add(key)
+    first = [{} for _ in rows]
+    may, whole = [], []
+    for (_, _, key), own, at in zip(rows, chunks, first, strict=True):
+        for span, words in own.items():
+            at.setdefault(words, span)
+        may.append({i for (b, e), words in own.items() if min(holders[words]) != key and (at[words] == (b, e) or b >= at[words][1]) or b >= at[words][1] for i in range(b, e)})
+        whole.append({words for words, (b, e) in at.items() if may[-1].isdisjoint(range(b, e))})
+    kept = {key: w for (_, _, key), w in zip(rows, whole, strict=True)}
     out = []
-    for (_, _, key), (_, digests, sizes) in zip(rows, chunks, strict=True):
-        seen, total, run = set(), 0, 0
-        for d, n in [*zip(digests, sizes, strict=True), (None, 0)]:
-            if d is not None and (d in seen or least[d] != key):
-                run += n
-            else:
-                total += run if run >= chunking.MIN_WORDS else 0
-                run = 0
-            seen.add(d)
-        out.append((len(digests), total))
+    for (_, _, key), own, at in zip(rows, chunks, first, strict=True):
+        gone = set()
+        for (b, e), words in own.items():
+            if (min(holders[words]) != key and (at[words] == (b, e) or b >= at[words][1]) or b >= at[words][1]) and words in kept[min(holders[words])]:
+                gone |= set(range(b, e))
+        out.append(gone)
     return out
 
 
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     words = [f"w{rng.randint(0, 500)}" for _ in range(300)]
-    a, b = " ".join(words), " ".join([*words[:100], "new", "words", *words[100:]])
-    one, two = chunk_words(a), chunk_words(b)
-    assert len(set(one[1]) - set(two[1])) <= 2 and sum(one[2]) == 300
-    assert 2.5 < 300 / len(one[1]) < 6.5
+    more = [*words[:100], "new", "words", *words[100:]]
+    one, two = ({tuple(x[b:e]) for b, e in brute_chunks(x)} for x in (words, more))
+    assert all(20 <= len(c) <= 52 for c in one | two) and {i for b, e in brute_chunks(words) for i in range(b, e)} == set(range(300))
+    lost = one - two
+    assert 0 < len(lost) < 16 and len(one) > 45
+    for _, _, block in blocks(pa.array([" ".join(words)]), Powers()):
+        c = chunking.Chunks(block)
+        assert sorted(zip(c.begin.tolist(), c.stop.tolist(), strict=True)) == brute_chunks(words) and len(set(c.digest.tolist())) == len(one)
+
+
+def cut_positions(row):
+    return {i for c in json.loads(row.cuts) for i in range(c["begin"], c["end"])}
+
+
+def windows(words, n):
+    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
 def test_substring_dedup_on_the_tables(spark):
@@ -181,17 +210,45 @@ def test_substring_dedup_on_the_tables(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text", chunking.document_key("doc_id", "text").alias("key")).collect()]
     out = {r.doc_id: r for r in chunking.repeats(docs).collect()}
     want = brute_cuts(rows)
-    for (key, text, _), (n, words) in zip(rows, want, strict=True):
-        assert (out[key].n_chunks, out[key].n_cut_words) == (n, words)
-        assert len(WORD.findall(out[key].text)) == len(WORD.findall(text)) - words
-    assert sum(w > 0 for _, w in want) > 20
+    for (key, text, _), gone in zip(rows, want, strict=True):
+        words = WORD.findall(text or "")
+        assert cut_positions(out[key]) == gone and (out[key].n_words, out[key].n_cut_words) == (len(words), len(gone))
+        assert WORD.findall(out[key].text) == [w for i, w in enumerate(words) if i not in gone]
+    assert sum(map(bool, want)) > 20
     # A passage of over 50 words is left in one document at most.
-    assert max(max(chunk_words(t)[2], default=0) for _, t, _ in rows) <= chunking.MAX_WORDS
-    seen = Counter()
-    for r in out.values():
-        words = WORD.findall(r.text)
-        seen.update({tuple(words[i : i + 50]) for i in range(len(words) - 49)})
-    assert max(seen.values()) == 1
+    assert max(Counter(x for r in out.values() for x in set(windows(WORD.findall(r.text), 50))).values()) == 1
+    assert_stands_whole({k: t for k, t, _ in rows}, out)
+
+
+def assert_stands_whole(texts, out):
+    """Every word cut lies in 20 words that the output holds one after another. Nothing here knows chunks."""
+    left = {x for r in out.values() for x in windows(WORD.findall(r.text or ""), 20)}
+    for key, text in texts.items():
+        words = WORD.findall(text or "")
+        for c in json.loads(out[key].cuts):
+            held = {i + k for i in range(c["begin"], c["end"] - 19) if tuple(words[i : i + 20]) in left for k in range(20)}
+            assert held == set(range(c["begin"], c["end"]))
+
+
+def test_nothing_is_cut_that_no_document_keeps(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    own = fresh(120)
+    # Groups of 12 words of one text, scattered over unrelated texts: that text stays.
+    rows = {1000: own} | {k: [*fresh(40), *own[10 * k : 10 * k + 12], *fresh(40)] for k in range(11)}
+    # Copies of a passage, edited here and there, cut short and joined to others.
+    base, other = fresh(150), fresh(90)
+    for k in range(40):
+        x = [w if rng.random() > 0.01 else fresh(1)[0] for w in base[rng.randint(0, 60) : 150 - rng.randint(0, 60)]]
+        rows[2000 + k] = [*fresh(rng.randint(0, 9)), *x, *(other[rng.randint(0, 40) :] if k % 3 else []), *fresh(5), *(x if k % 7 == 0 else [])]
+    texts = {k: " ".join(w) for k, w in rows.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in chunking.repeats(docs).collect()}
+    assert all(out[k].n_cut_words == 0 for k in rows if k <= 1000)
+    assert sum(r.n_cut_words > 50 for r in out.values()) > 30
+    assert_stands_whole(texts, out)
+    keyed = [tuple(r) for r in docs.select("doc_id", "text", chunking.document_key("doc_id", "text").alias("key")).collect()]
+    assert [cut_positions(out[k]) for k, _, _ in keyed] == brute_cuts(keyed)
 
 
 def test_substring_dedup_edges(spark):

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from test_groups import WORD, brute_classes, chunk_words
+from test_groups import WORD, brute_classes, brute_cuts
 from test_scans import base, brute_scores, hits
 
 import corpus_pipeline
@@ -29,33 +29,16 @@ def brute_dedup(docs):
     return [d for d in docs if d[0] in first]
 
 
-def brute_chunks(docs):
-    """Words left of each text, cut chunk by chunk with dictionaries."""
-    chunks, least = {}, {}
-    for k, t, _, key in docs:
-        chunks[k] = chunk_words(t)
-        for d in chunks[k][1]:
-            least[d] = min(least.get(d, key), key)
-    out = []
-    for k, t, s, key in docs:
-        texts, digests, sizes = chunks[k]
-        seen, kept, run, n = set(), [], [], 0
-        for text, d, size in [*zip(texts, digests, sizes, strict=True), ("", None, 0)]:
-            if d is not None and (d in seen or least[d] != key):
-                run, n = [*run, text], n + size
-            else:
-                kept += run if n < chunking.MIN_WORDS else []
-                kept.append(text)
-                run, n = [], 0
-            seen.add(d)
-        out.append((k, WORD.findall(" ".join(kept)), s))
-    return out
+def brute_strip(docs):
+    """Words left of each text."""
+    gone = brute_cuts([(k, t, key) for k, t, _, key in docs])
+    return [(k, [w for i, w in enumerate(WORD.findall(t or "")) if i not in own], s) for (k, t, s, _), own in zip(docs, gone, strict=True)]
 
 
 def test_pipeline_against_brute_force(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text", "source", chunking.document_key("doc_id", "text").alias("key"))
     rows = [tuple(r) for r in docs.collect()]
-    want = brute_chunks(brute_dedup(brute_quality(spark, rows)))
+    want = brute_strip(brute_dedup(brute_quality(spark, rows)))
 
     frame, seen = table(spark, SF, "documents"), []
     for _, stage in corpus_pipeline.STAGES[:3]:
