@@ -204,3 +204,59 @@ def test_pipeline_is_its_stages(spark):
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_over_nothing(spark, name, stage):
     assert stage(spark, table(spark, SF, "documents").where("false"), SF).count() == 0
+
+
+def alone(page):
+    return wrappers.text_of(page, wrappers.Wrapper.of(wrappers.parse(page)))
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "nav", "form", "p", "x-y"])
+def test_deep_nesting(tag):
+    n = 10_000
+    inside = "<div class=sidebar>no</div><p>one two</p><nav>no</nav>"
+    page = f"<p>before</p>{f'<{tag}>' * n}{inside}{f'</{tag}>' * n}<p>after</p>"
+    want = {"article": ["one two"], "nav": ["before", "after"], "form": ["before", "one two", "after"], "p": ["before", "one two", "after"]}.get(tag, ["before", "one two", "after"])
+    got = alone(page).split("\n\n")
+    assert got == want or tag == "form" and got == ["before", "after"]
+    deep = f"{'<div>' * n}<nav>no</nav><article><h1>t</h1>{'<section>' * n}<p>one two</p><footer>no</footer>{'</section>' * n}</article><p>no</p>{'</div>' * n}"
+    assert alone(deep) == "t\n\none two"
+    wrapper = wrappers.Wrapper.of(wrappers.parse(deep))
+    wrapper.add(wrappers.Wrapper.unpacked(wrappers.Wrapper.of(wrappers.parse(page)).packed()))
+    assert wrappers.text_of(deep, wrapper) == "t\n\none two"
+    assert alone("</div>" * n + "<b>" * n + "x" + "</b>" * n) == "x"
+
+
+def test_many_alternating_siblings():
+    pages = ["<article>" + "".join(f"<p>p{k} {n}</p><pre>c{k}</pre>" for k in range(n)) + "</article>" for n in (25_000, 20_011, 3)]
+    wrapper = wrappers.Wrapper.of(wrappers.parse(pages[0]))
+    for page in pages[1:]:
+        wrapper.add(wrappers.Wrapper.of(wrappers.parse(page)))
+    for page, n in zip(pages, (25_000, 20_011, 3), strict=True):
+        assert wrappers.text_of(page, wrapper) == "\n\n".join(x for k in range(n) for x in (f"p{k} {n}", f"c{k}"))
+
+
+def test_wrapper_of_pages_with_names_of_their_own_stays_small():
+    page = lambda i: f'<div id="post-{i}" class="post postid-{i} tag-{"abcdefghij"[i % 10]}x{i}y"><div class="crumbs u{i}">Home</div><div class="c slug-{"qrstuvwxyz"[i % 10]}{"abcdefghijklmno"[i // 40]}"><p>text {i}</p></div></div>'
+    wrapper, size = wrappers.Wrapper.of(wrappers.parse(page(0))), []
+    for i in range(1, 400):
+        wrapper.add(wrappers.Wrapper.of(wrappers.parse(page(i))))
+        size.append(len(wrapper.packed()))
+    assert max(size) < 300 and size[-1] <= size[20] + 20
+    # One element a level, with a slot for what differs; what is the same on all pages is template.
+    assert [wrappers.text_of(page(i), wrapper) for i in range(400)] == [f"text {i}" for i in range(400)]
+
+
+def test_inline_elements_that_declare_themselves_adverts():
+    assert alone('<p>one <span class="advert">BUY <span>NOW</span> or never</span>two <a class="share">Tweet this</a>three <b class="social-links">x<p>four <code class="comment">kept</code><i id=shared>too</i>') == "one two three\n\nfour kepttoo"
+    assert alone('<div><a class="ad"><div>no</div></a>yes</div><p>on <span class=ads>never closed</p><p>next') == "yes\n\non\n\nnext"
+
+
+def test_alignment_is_a_common_subsequence():
+    rng = random.Random(5)
+    for n in (5, 60, 700):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, n))] for _ in range(2))
+        for f in (wrappers.longest, wrappers.by_occurrence, wrappers.common):
+            pairs = f(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+        if n < 100:
+            assert len(wrappers.common(a, b)) == len(wrappers.longest(a, b)) >= len(wrappers.by_occurrence(a, b))

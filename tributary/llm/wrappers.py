@@ -5,7 +5,8 @@ texts; inline tags belong to the text around them, and optional end tags are
 filled in. A wrapper is a regular expression without unions over such tokens.
 The first page of a host is its first wrapper; each further page is aligned
 with it. Where both agree the token stays; where texts differ the text becomes
-a slot; like elements in a row become one repeated group; a token that only one
+a slot; where elements of one name differ in class or id, what they have in
+common stays; like elements in a row become one repeated group; a token that only one
 side has becomes optional. Alignment of two wrappers is the same operation, so
 each task folds its pages into one wrapper a host, and wrappers of tasks are
 folded again in two steps: all pages count, and a host of a third of all rows
@@ -20,6 +21,10 @@ form, class or id would take most of a page without another article. Outside
 a declared article texts that several of the host's pages have in common go as well. A page
 is then read through its host's wrapper.
 
+Inline elements that declare themselves adverts or share links are left out of
+the text around them. Elements nested deeper than ``DEPTH`` count as part of
+their parent, unless they declare themselves an article or out of it.
+
 Defined results: null or empty html gives an empty text; a null url counts as
 host ''; a page that its wrapper doesn't match is judged by declarations alone;
 repeated rows are read one by one; a page in which its wrapper finds no text, and
@@ -28,6 +33,7 @@ which declares no article, is read by itself.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
@@ -48,6 +54,12 @@ MOST_HOSTS = 2_000
 MOST_BROADCAST = 32 << 20
 #: Tasks' wrappers of a host are folded in so many groups, then those.
 SALTS = 32
+#: Elements nested deeper than this count as part of their parent.
+DEPTH = 128
+#: Sequences of more pairs of elements than this are aligned by the order of like elements, not by a longest common subsequence.
+MOST_PAIRS = 40_000
+#: Labels whose properties a task remembers.
+MOST_LABELS = 50_000
 
 #: Names of elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -76,12 +88,16 @@ DECLARED_STARTS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "pa
 BESIDE = frozenset("site page top bottom left right main global primary secondary list lists item items box wrap wrapper container inner outer bar area links posts thread slot unit".split())
 #: Words of reader comments, which may well be longer than the article.
 READERS = frozenset("comment comments disqus respond reply replies".split())
+#: Words by which inline elements declare themselves adverts or share links.
+INLINE_OUT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion popup share sharing social newsletter subscribe subscription signup".split())
 ARTICLE = frozenset(["article", "main"])
 
 REMOVED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 ATTRIBUTES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[^\W\d_]+")
+#: Numbers in classes and ids tell pages and elements apart, not their kinds.
+NUMBERS = re.compile(r"[\d-]+")
 
 
 class Node:
@@ -117,14 +133,35 @@ def label_of(name: str, attributes: str) -> str:
         elif kind == "hidden" or kind == "aria-hidden" and value == "true":
             words.append("popup")
         elif kind in ("class", "id"):
-            words += value.split()
-    return f"{name}|{role}|{' '.join(sorted(words))}" if role or words else name
+            words += [NUMBERS.sub("-", w) for w in value.split()]
+    return f"{name}|{role}|{' '.join(sorted(set(words)))}" if role or words else name
+
+
+def inline_out(attributes: str) -> bool:
+    """Whether an inline element declares itself an advert or a share link."""
+    if not attributes.strip():
+        return False
+    _, _, marks = label_of("span", attributes).partition("|")
+    role, _, tokens = marks.partition("|")
+    return role in INLINE_OUT or any((rest := [w for w in WORDS.findall(x) if w not in BESIDE]) and INLINE_OUT.issuperset(rest) for x in tokens.split())
+
+
+class Open:
+    """An open element: its name, the node that takes what it holds, and whether it or one around it is declared out or an article."""
+
+    __slots__ = ("name", "node", "out", "article")
+
+    def __init__(self, name: str, node: Node, out: bool, article: bool) -> None:
+        self.name, self.node, self.out, self.article = name, node, out, article
 
 
 def parse(html: str) -> Node:
     """Element tree of the block-level tags; texts are decoded, their white space made single."""
     root = Node("")
-    stack, parts = [root], []
+    stack, parts, opened = [Open("", root, False, False)], [], {}
+    depth = 0
+    # Inline element that is left out: its name, how many of that name are open, and the elements around it.
+    skipped: list | None = None
     html = REMOVED.sub(" ", html)
 
     def flush() -> None:
@@ -132,32 +169,57 @@ def parse(html: str) -> Node:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                stack[-1].kids.append(Node(None, text, len(text)))
+                stack[-1].node.kids.append(Node(None, text, len(text)))
+
+    def close(down_to: int) -> None:
+        nonlocal depth, skipped
+        while len(stack) > down_to:
+            gone = stack.pop()
+            opened[gone.name] -= 1
+            depth -= gone.node is not stack[-1].node
+        if skipped and len(stack) < skipped[2]:
+            skipped = None
 
     at = 0
     for m in TAG.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not skipped:
             parts.append(html[at : m.start()])
         at = m.end()
         name = m[2].lower()
         if name in INLINE:
-            if name in ("br", "img"):
+            if skipped:
+                if name == skipped[0]:
+                    skipped[1] += -1 if m[1] else 1
+                    if not skipped[1]:
+                        skipped = None
+            elif name in ("br", "img"):
                 parts.append(" ")
+            elif not m[1] and name not in VOID and inline_out(m[3]):
+                skipped = [name, 1, len(stack)]
             continue
         flush()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].label.split("|", 1)[0] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                close(k)
             continue
-        while len(stack) > 1 and name in CLOSED_BY.get(stack[-1].label.split("|", 1)[0], ()):
-            stack.pop()
-        node = Node(label_of(name, m[3]))
-        stack[-1].kids.append(node)
+        while len(stack) > 1 and name in CLOSED_BY.get(stack[-1].name, ()):
+            close(len(stack) - 1)
+        top, label = stack[-1], label_of(name, m[3])
+        _, out, article = known(label)
+        if depth < DEPTH or not top.out and (out or article and not top.article):
+            node = Node(label)
+            top.node.kids.append(node)
+        else:
+            node = top.node
         if name not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    parts.append(html[at:])
+            stack.append(Open(name, node, top.out or out, top.article or article))
+            opened[name] = opened.get(name, 0) + 1
+            depth += node is not top.node
+    if not skipped:
+        parts.append(html[at:])
     flush()
     return root
 
@@ -186,6 +248,7 @@ def merge(into: Node, other: Node) -> None:
         if into.text != other.text:
             into.text = None
         return
+    into.label = general(into.label, other.label)
     mine, theirs = into.kids, other.kids
     if len(mine) == len(theirs) and all(a.label == b.label for a, b in zip(mine, theirs, strict=True)):
         for a, b in zip(mine, theirs, strict=True):
@@ -211,27 +274,103 @@ def merge(into: Node, other: Node) -> None:
             into.kids.append(kid)
 
 
+def general(a: str, b: str) -> str:
+    """The label of elements of one kind: the words that both have; of those declared out, one of the two."""
+    if a == b:
+        return a
+    _, out, article = known(a)
+    if out:
+        return min(a, b)
+    (name, _, x), (_, _, y) = a.partition("|"), b.partition("|")
+    (role, _, words), (other, _, more) = x.partition("|"), y.partition("|")
+    role = role if role == other else min(r for r in (role, other) if r in ("main", "article")) if article and name not in ARTICLE else ""
+    words = " ".join(sorted({*words.split()} & {*more.split()}))
+    return f"{name}|{role}|{words}" if role or words else name
+
+
+def kind(node: Node) -> tuple | None:
+    return None if node.label is None else known(node.label)[0]
+
+
 def aligned(mine: list[Node], theirs: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """Both sequences in order, with a longest common subsequence of labels side by side."""
-    n, m = len(mine), len(theirs)
+    """Both sequences in order, with like elements side by side: first those of one label, then between them those of one kind."""
+    out: list[tuple[Node | None, Node | None]] = []
+    i = j = 0
+    for a, b in [*common([x.label for x in mine], [x.label for x in theirs]), (len(mine), len(theirs))]:
+        left, right = mine[i:a], theirs[j:b]
+        u = v = 0
+        pairs = common([kind(x) for x in left], [kind(x) for x in right]) if left and right else []
+        for c, d in [*pairs, (len(left), len(right))]:
+            out += [(x, None) for x in left[u:c]]
+            out += [(None, x) for x in right[v:d]]
+            if c < len(left) and d < len(right):
+                out.append((left[c], right[d]))
+            u, v = c + 1, d + 1
+        if a < len(mine) and b < len(theirs):
+            out.append((mine[a], theirs[b]))
+        i, j = a + 1, b + 1
+    return out
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions of a common subsequence: ends first, then a longest one; of long sequences the longest in which the k-th of equal elements meets the k-th."""
+    n, m = len(a), len(b)
+    lo = 0
+    while lo < min(n, m) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(n, m) - lo and a[n - 1 - hi] == b[m - 1 - hi]:
+        hi += 1
+    x, y = a[lo : n - hi], b[lo : m - hi]
+    middle = (longest(x, y) if len(x) * len(y) <= MOST_PAIRS else by_occurrence(x, y)) if x and y else []
+    return [*((k, k) for k in range(lo)), *((lo + i, lo + j) for i, j in middle), *((n - k, m - k) for k in range(hi, 0, -1))]
+
+
+def longest(a: list, b: list) -> list[tuple[int, int]]:
+    n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if mine[i].label == theirs[j].label else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and mine[i].label == theirs[j].label:
-            out.append((mine[i], theirs[j]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append((mine[i], None))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append((None, theirs[j]))
             j += 1
     return out
 
 
+def by_occurrence(a: list, b: list) -> list[tuple[int, int]]:
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    seen: dict = {}
+    pairs = []
+    for i, x in enumerate(a):
+        k = seen[x] = seen.get(x, -1) + 1
+        if k < len(places.get(x, ())):
+            pairs.append((i, places[x][k]))
+    # Longest increasing run of the second places.
+    ends, tails, before = [], [], []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(ends, j)
+        before.append(tails[at - 1] if at else -1)
+        if at == len(ends):
+            ends.append(j)
+            tails.append(k)
+        else:
+            ends[at], tails[at] = j, k
+    out, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
 class Wrapper:
     """A host's wrapper and the texts of a few different pages, to tell template from copies."""
 
@@ -264,7 +403,31 @@ def texts_of(node: Node) -> Iterator[str]:
         yield from texts_of(kid)
 
 
+#: Kinds, and whether they are declared out or articles, of labels that the task has met.
+KNOWN: dict[str, tuple[tuple, bool, bool]] = {}
+
+
+def known(label: str) -> tuple[tuple, bool, bool]:
+    """An element's kind (name, declared out, by readers, article), and whether it is declared out or an article."""
+    found = KNOWN.get(label)
+    if found is None:
+        if len(KNOWN) >= MOST_LABELS:
+            KNOWN.clear()
+        name, _, marks = label.partition("|")
+        out, article = says_element_out(label), name in ARTICLE or marks.partition("|")[0] in ("main", "article")
+        found = KNOWN[label] = (name, out, out and not READERS.isdisjoint(WORDS.findall(marks)), article), out, article
+    return found
+
+
 def declared_out(label: str) -> bool:
+    return known(label)[1]
+
+
+def is_article(label: str) -> bool:
+    return known(label)[2]
+
+
+def says_element_out(label: str) -> bool:
     """Whether an element says of itself that it isn't the article."""
     name, _, marks = label.partition("|")
     if name in LEFT_OUT:
@@ -283,11 +446,6 @@ def says_out(token: str) -> bool:
     return bool(rest) and all(w in DECLARED or w.startswith(DECLARED_STARTS) for w in rest)
 
 
-def is_article(label: str) -> bool:
-    name, _, marks = label.partition("|")
-    return name in ARTICLE or marks.partition("|")[0] in ("main", "article")
-
-
 def shared(text: Node) -> bool:
     """Whether a text is the same on all pages that have it, and these aren't a few."""
     return text.text is not None and not text.optional and text.pages >= SHOWN
