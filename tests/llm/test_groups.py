@@ -109,6 +109,21 @@ def test_near_duplicates_differ_in_repeats(spark):
     assert sum(w[3] > 1 for w in want) > 80
 
 
+def test_hot_buckets_are_split(spark, monkeypatch):
+    # Groups whose buckets hold many components: the same classes in cells of a few texts.
+    for name, value in {"HOT": 2, "MOST_HOT": 10**9, "HELD": 2, "SALTED": 3}.items():
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(6)
+    texts = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(120)]
+        texts += list(variants(rng, words, 40, 0.017))
+    docs = [(i, t, None, None, None) for i, t in enumerate(texts + texts[:9])]
+    out = minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
+    want = brute_classes([d[:2] for d in docs])
+    assert same_rows(out, want) and len({w[1] for w in want}) > 3 < max(w[3] for w in want)
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, "a b"), (2, "A  b"), (2, "A  b"), (3, None), (4, ""), (5, " "), (None, "a b"), (None, "q r s t u v"), (6, long), (7, long + " end"), (8, "x"), (8, "y")]

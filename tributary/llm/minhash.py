@@ -19,8 +19,13 @@ from the first shuffle on, counted per map task before it.
 2. Components; in buckets that still hold several, texts outside the largest
    are compared with all of other components, first by signature and set size,
    then by their sets, and one link for each two components becomes a row; then
-   components again. Pairs inside a component are never formed, and a bucket's
-   smaller components are held against a stream of the rest.
+   components again. Pairs inside a component are never formed. A bucket is a
+   grid of cells, each of which holds a bounded number of texts against a
+   bounded number of others, so a large bucket is many tasks.
+
+Joins on keys that a large group shares (bucket, component) leave the rows of hot
+keys, which are counted, where they are; other joins read both sides from
+shuffles, where adaptive execution splits skewed keys.
 
 Defined results: null, empty and word-less texts each are one text without
 shingles: equal ones are copies, and nothing else is like them. Repeated rows
@@ -44,8 +49,12 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-#: A pair of step 2 needs so many equal components: at 0.8 the expected number is 76.8, deviation 3.9.
+#: A pair of step 2 needs so many equal components: of a pair at 0.8, expected to have 76.8, fewer are equal with probability 4e-7, which is less than that of sharing no band (3e-6).
 LEAST_EQUAL = 56
+#: Keys of so many rows or more are dealt apart, and how many there are at most.
+HOT, MOST_HOT = 500, 2_000
+#: Texts that one cell of a bucket holds, and texts that it holds them against.
+HELD, SALTED = 1_000, 1_000
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -199,32 +208,49 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_links(buckets: DataFrame) -> DataFrame:
-    """Links (a, b) between components of one bucket, one for each two components that have any.
+def cells(labelled: DataFrame, mixed: DataFrame, hot: list[int]) -> DataFrame:
+    """Rows (bucket, i, j, held, label, node) of buckets with several components, from (bucket, node, label) and (bucket, major, groups, salts).
+
+    A text outside its bucket's largest component is held in group i, and any
+    text lies in salt j: each cell (i, j) compares its held texts with its
+    others, so every pair meets in some cell, and none has more than HELD texts
+    to hold and SALTED to hold them against (give or take the hash).
+    """
+    rest = by_key(labelled, mixed, "bucket", hot)
+    numbers = lambda most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most) - 1))
+    rows = rest.select("bucket", numbers("groups").alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).alias("j"), F.lit(False).alias("held"), "label", "node")
+    held = rest.where("label <> major").select("bucket", F.pmod(F.xxhash64("node", F.lit(2)), F.col("groups")).alias("i"), numbers("salts").alias("j"), F.lit(True).alias("held"), "label", "node")
+    return rows.unionByName(held)
+
+
+def cross_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one bucket, one for each two components of a cell that have any.
 
-    Rows are (bucket, label, minor, node, sketch, bands, shingles); minor ones
-    lie outside the bucket's largest component, and each is compared with all
-    rows of other components. Texts that meet in several buckets are compared
-    in the first only; sketches and set sizes sort out most pairs, and what is
-    left is verified here, so no pair becomes a row unless it is a link.
+    Rows are (bucket, i, j, held, label, node, sketch, bands, shingles): a cell's
+    held texts come first, and all others are compared with them. Texts that meet
+    in several buckets are compared in the first only; sketches and set sizes sort
+    out most pairs, and what is left is verified here, so no pair becomes a row
+    unless it is a link.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, joined = None, [], {}
         for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
-                if bucket[lo] != current:
-                    current, held, joined = bucket[lo], [], {}
-                part = Members(batch.slice(lo, hi - lo), int(current))
-                # Minor rows come first: each part meets all minor rows before it, and its own.
-                held += part.minors()
-                found = [link for u in held for link in part.links(u, joined)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
-    dealt = buckets.select("bucket", "label", "minor", "node", "sketch", "bands", "shingles").repartition("bucket").sortWithinPartitions("bucket", F.desc("minor"))
+            cell = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            edges = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
+                if current != (own := tuple(cell[:, lo].tolist())):
+                    current, held, joined = own, [], {}
+                part = batch.slice(lo, hi - lo)
+                first = part.filter(part.column(3))
+                held += Members(first, own[0]).each()
+                if first.num_rows < part.num_rows:
+                    others = Members(part.slice(first.num_rows), own[0])
+                    found = [link for u in held for link in others.links(u, joined)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    dealt = rows.select("bucket", "i", "j", "held", "label", "node", "sketch", "bands", "shingles").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("held"))
     return small_batches(dealt).mapInArrow(scan, "a long, b long").distinct()
 
 
@@ -232,28 +258,27 @@ class Members:
     """Some rows of one bucket, as arrays."""
 
     def __init__(self, rows: pa.RecordBatch, bucket: int) -> None:
-        self.label, self.node = rows.column(1).to_pylist(), rows.column(3).to_pylist()
-        self.minor = rows.column(2).to_pylist()
-        self.sketch = np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype=np.uint16).reshape(-1, COMPONENTS)
-        self.bands = np.array(rows.column(5).to_pylist(), dtype=np.int64).reshape(-1, BANDS)
+        self.label, self.node = rows.column(4).to_pylist(), rows.column(5).to_pylist()
+        self.sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), dtype=np.uint16).reshape(-1, COMPONENTS)
+        self.bands = np.array(rows.column(7).to_pylist(), dtype=np.int64).reshape(-1, BANDS)
         self.band = np.argmax(self.bands == bucket, axis=1)
-        sets = rows.column(6).to_pylist()
+        sets = rows.column(8).to_pylist()
         self.size = np.array([len(x) // 4 for x in sets], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.shingles = np.frombuffer(b"".join(sets), dtype=np.uint32)
 
-    def minors(self) -> list[tuple]:
-        return [(self.label[i], self.node[i], self.sketch[i], self.bands[i], self.shingles[self.first[i] : self.first[i + 1]].copy()) for i, m in enumerate(self.minor) if m]
+    def each(self) -> list[tuple]:
+        return [(self.label[i], self.node[i], self.sketch[i], self.bands[i], self.shingles[self.first[i] : self.first[i + 1]].copy()) for i in range(len(self.node))]
 
-    def links(self, minor: tuple, joined: dict[int, int]) -> Iterator[tuple[int, int]]:
-        """Links of one minor row to rows here, one for each component not joined to its own yet."""
+    def links(self, held: tuple, joined: dict[int, int]) -> Iterator[tuple[int, int]]:
+        """Links of one held text to texts here, one for each component not joined to its own yet."""
 
         def root(x: int) -> int:
             while x in joined:
                 x = joined[x]
             return x
 
-        label, node, sketch, bands, own = minor
+        label, node, sketch, bands, own = held
         near = (self.sketch == sketch).sum(axis=1) >= LEAST_EQUAL
         near &= np.minimum(self.size, len(own)) >= SIMILARITY * np.maximum(self.size, len(own)) - 1e-9
         near &= np.argmax(self.bands == bands, axis=1) == self.band
@@ -271,6 +296,19 @@ class Members:
                 yield min(node, self.node[i]), max(node, self.node[i])
 
 
+def hot_from(n: int) -> int:
+    """Rows from which a key is dealt apart: so many that there are MOST_HOT such keys at most, or HOT."""
+    return max(HOT, n * BANDS // MOST_HOT)
+
+
+def by_key(left: DataFrame, right: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """The join of left with right, a row a key; rows of hot keys, of which there are MOST_HOT at most, stay where they are and meet theirs by broadcast."""
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    return left.where(~is_hot).join(right.where(~is_hot), key).unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key))
+
+
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
@@ -288,11 +326,12 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     entries = texts.select("node", F.explode("bands").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
-    members = cut(entries.join(full, "bucket"), n * BANDS)
+    hot = [r["bucket"] for r in full.where(F.col("many") > hot_from(n)).collect()]
+    members = cut(by_key(entries, full, "bucket", hot), n * BANDS)
     popular = members.groupBy("node").agg(F.sum("many").alias("popularity"))
     ranked = members.join(popular, "node")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("popularity", "node")).alias("rank"))
-    led = ranked.join(leaders, "bucket").groupBy("node").agg(F.max("rank").alias("rank")).select(F.col("node").alias("a"), F.col("rank.node").alias("b")).where("a <> b")
+    led = by_key(ranked, leaders, "bucket", hot).groupBy("node").agg(F.max("rank").alias("rank")).select(F.col("node").alias("a"), F.col("rank.node").alias("b")).where("a <> b")
     # Copies go before the shuffle, and what they leave meets the members without another one.
     one_each = named.dropDuplicates(["node"]).join(popular.select("node"), "node", "left_semi")
     sets = cut(shingle_sets(one_each), n, TASK_TEXTS)
@@ -300,14 +339,17 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = components(links)
     labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     sized = labelled.groupBy("bucket", "label").agg(F.count("*").alias("many"))
-    mixed = sized.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("many", "label")).alias("major")).where("labels > 1").select("bucket", F.col("major.label").alias("major"))
-    rest = labelled.join(mixed, "bucket").withColumn("minor", F.col("label") != F.col("major")).join(texts.select("node", "bands", "sketch"), "node").join(sets, "node")
+    of = F.struct("many", "label")
+    mixed = sized.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("many").alias("all"), F.max(of).alias("major")).where("labels > 1")
+    mixed = mixed.select("bucket", F.col("major.label").alias("major"), F.ceil((F.col("all") - F.col("major.many")) / HELD).alias("groups"), F.ceil(F.col("all") / SALTED).alias("salts"))
+    rest = cells(labelled, mixed, hot).join(texts.select("node", "bands", "sketch"), "node").join(sets, "node")
     more = cut(cross_links(rest), n)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     joined = texts.select("node", "doc_id", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n_rows").alias("class_rows"), F.count("*").alias("class_texts"))
-    return joined.join(classes, "label").select("node", "label", "doc_id", "class_id", "class_rows", "class_texts")
+    wide = [r["label"] for r in classes.where(F.col("class_texts") > hot_from(n)).collect()]
+    return by_key(joined, classes, "label", wide).select("node", "label", "doc_id", "class_id", "class_rows", "class_texts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
