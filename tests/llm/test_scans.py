@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -181,6 +182,9 @@ def grams(text):
     return set(zip(words, words[1:], strict=False))
 
 
+TEMPLATE_GRAMS = [(grams(t), name) for name, own in licences.TEMPLATES.items() for t in own]
+
+
 def brute_licences(text):
     out = []
     text = text or ""
@@ -188,7 +192,8 @@ def brute_licences(text):
     paragraph = re.split(r"\n[ \t\r\x0b\x0c]*(?=\n)", text)
     parts |= {x.strip("\n") for x in paragraph if x.strip("\n")}
     for part in parts:
-        best = max(((dice(grams(part), grams(t)), name) for name, own in licences.TEMPLATES.items() for t in own if grams(part)), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
+        own = grams(part)
+        best = max(((dice(own, t), name) for t, name in TEMPLATE_GRAMS if own and not own.isdisjoint(t)), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
         if best[0] >= licences.THRESHOLD - 1e-12:
             out.append(best)
     return out
@@ -213,7 +218,7 @@ def test_licences_inside_lines_and_comments(spark):
         words = text.split()
         return "\n".join(f"{sign} {' '.join(words[i : i + width])}" for i in range(0, len(words), width))
 
-    mit, gpl = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["GPL-3.0"][1]
+    mit, gpl = licences.NOTICES["MIT"][2], licences.NOTICES["GPL-3.0"][1]
     about = "Copyright 2020 some people who wrote this program in their time"
     texts = [
         "Prose before. Licensed under the MIT License. Prose after it goes on.",
@@ -251,8 +256,29 @@ def test_licence_windows_against_all_spans(spark):
     assert 0 < sum(r.n_matches > 0 for r in out.values()) < len(texts)
 
 
+def wrapped(text, width, lead=""):
+    return "\n".join(lead + line for part in re.split(r"\n\s*\n", text) for line in [*textwrap.wrap(" ".join(part.split()), width), ""])
+
+
+def test_whole_licences(spark):
+    prose = "An essay on rivers and on the towns beside them.\n\n"
+    rows, want = [], []
+    for name, (text, *_) in licences.WHOLE.items():
+        for shape in (text, prose + wrapped(text, 60) + "\n\nMore of the essay.", "Copyright (c) 2020 Somebody Else <a@b.org>\n" + wrapped(text, 90, " * "), " ".join(text.split())):
+            rows.append((len(rows), shape))
+            want.append(name)
+    for name, mark in licences.OPENINGS.items():
+        rows.append((len(rows), prose + licences.WHOLE[name][0].split(mark)[0] + "and so on."))
+        want.append(name)
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (k, _), name in zip(rows, want, strict=True):
+        assert out[k].licences == [name] and out[k].licence == name, (k, name, out[k].licences)
+    bsd = {k: name for (k, _), name in zip(rows, want, strict=True) if name.startswith("BSD")}
+    assert {n for k in bsd for n in out[k].licences} == {"BSD-2-Clause", "BSD-3-Clause"}
+
+
 def test_licences_edges(spark):
-    long = licences.TEMPLATES["MIT"][2]
+    long = licences.NOTICES["MIT"][2]
     wrapped = long.replace("to deal in", "to\ndeal in").upper()
     texts = [None, "", "\n\n", "All rights reserved", f"Intro\n\n{wrapped}\n\nMore text here", "all rights", "x " * 50_000, "Released under the MIT License.\nAll rights reserved."]
     frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(None, texts[3], "clash")] * 2, "doc_id long, text string, licence string")

@@ -1,6 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams against templates.
 
-Text is normalised: A-Z lower-cased, words ``[0-9a-z and non-ASCII]+``. A
+Templates are whole licences as they are distributed, their openings, and the
+notices by which texts name a licence. Text is normalised: A-Z lower-cased, words ``[0-9a-z and non-ASCII]+``. A
 passage is a line, or a run of lines between blank ones, or the whole text;
 its word bigrams, as a set, are compared with each template's. Of templates
 only those whose size lets the coefficient reach the threshold are compared:
@@ -18,7 +19,9 @@ template first in name order wins; repeated rows are judged one by one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from tributary.llm.textkit import FOLDED_VALUES, LETTERS_DIGITS, U64, Powers, bl
 
 THRESHOLD = 0.8
 
-#: Notices by which texts declare their licence, and the openings of licences that are pasted whole.
-TEMPLATES = {
+#: Notices by which texts declare their licence.
+NOTICES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -38,11 +41,9 @@ TEMPLATES = {
     ],
     "BSD-2-Clause": [
         "Licensed under the BSD 2-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -57,6 +58,14 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -67,6 +76,31 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Where the opening of a long licence ends, which texts quote on its own.
+OPENINGS = {
+    "Apache-2.0": "2. Grant of Copyright License.",
+    "CC0-1.0": "2. Waiver.",
+    "GPL-2.0": "TERMS AND CONDITIONS FOR COPYING",
+    "GPL-3.0": "TERMS AND CONDITIONS",
+    "LGPL-2.1": "TERMS AND CONDITIONS FOR COPYING",
+    "MPL-2.0": "2. License Grants and Conditions",
+}
+END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """Licences as they are distributed, from the files beside this one, without the copyright line to be filled in; without what follows their terms; and their openings."""
+    out = {}
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = re.sub(r"(?im)^copyright .*<.*>.*$", "", path.read_text("utf-8"))
+        parts = [text, text.split(END)[0], text.split(OPENINGS[path.stem])[0] if path.stem in OPENINGS else text]
+        out[path.stem] = list(dict.fromkeys(parts))
+    return out
+
+
+WHOLE = whole_texts()
+TEMPLATES = {name: [*NOTICES.get(name, []), *WHOLE.get(name, [])] for name in sorted({*NOTICES, *WHOLE})}
+
 LINE_BYTES = ~byte_table("\n")
 FOUND = "doc_id long, n_matches long, licence string, dice double, passage string, licences array<string>"
 
@@ -102,12 +136,16 @@ class Templates:
             out[at] = self.known[place] == hashes[at]
         return out
 
-    def best(self, known: np.ndarray, size: int) -> tuple[float, str, int] | None:
+    def likely(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the templates that a text with these of their bigrams can match anywhere, in a passage or a window: no span has more of them than the text."""
+        return np.flatnonzero(self.holds[np.searchsorted(self.known, np.unique(hashes))].sum(axis=0) >= self.least)
+
+    def best(self, known: np.ndarray, size: int, likely: np.ndarray) -> tuple[float, str, int] | None:
         """Highest coefficient of a passage of so many distinct bigrams, of which known are some template's, and the template."""
         # 2 min(a, b) / (a + b) >= t: b between a t / (2 - t) and a (2 - t) / t.
         low, high = size * self.threshold / (2 - self.threshold), size * (2 - self.threshold) / self.threshold
         found = None
-        for k in range(int(np.searchsorted(self.sizes, low - 1e-9)), int(np.searchsorted(self.sizes, high + 1e-9, side="right"))):
+        for k in likely[np.searchsorted(likely, np.searchsorted(self.sizes, low - 1e-9)) : np.searchsorted(likely, np.searchsorted(self.sizes, high + 1e-9, side="right"))].tolist():
             own, name = self.sets[k]
             dice = 2.0 * len(np.intersect1d(known, own, assume_unique=True)) / (size + len(own))
             if dice >= self.threshold - 1e-12 and (found is None or (-dice, name) < (-found[0], found[1])):
@@ -118,7 +156,7 @@ class Templates:
         """(coefficient, name, first, last) of spans of a text's bigrams that match, without bigrams that are taken; these are marked."""
         at = np.flatnonzero(known & ~taken)
         kinds = np.searchsorted(self.known, hashes[at])
-        likely = np.flatnonzero(self.holds[np.unique(kinds)].sum(axis=0) >= self.least)
+        likely = self.likely(hashes[at])
         if not len(likely):
             return []
         order = np.argsort(hashes, kind="stable")
@@ -190,6 +228,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                 rows = np.unique(np.searchsorted(block.offs, place[some], side="right") - 1)
                 for row in rows.tolist():
                     left, right = np.searchsorted(place, block.offs[row : row + 2]).tolist()
+                    likely = known.likely(hashes[left:right][some[left:right]])
+                    if not len(likely):
+                        continue
                     taken = np.zeros(right - left, dtype=bool)
                     for b, e in passages(block.data, int(block.offs[row]), int(block.offs[row + 1])):
                         i, j = int(np.searchsorted(place, b)), int(np.searchsorted(last, e, side="right"))
@@ -200,7 +241,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                         # Bounds first: a passage has at least as many bigrams as it shares, and no more than its words.
                         if 2 * len(hits) < known.threshold * (len(hits) + known.sizes[0]):
                             continue
-                        match = known.best(hits, len(np.unique(hashes[i:j])))
+                        match = known.best(hits, len(np.unique(hashes[i:j])), likely)
                         if match:
                             found[lo + row].append((-match[0], match[1], b, block.text(b, e)))
                             taken[i - left : j - left] |= np.isin(hashes[i:j], known.sets[match[2]][0])
