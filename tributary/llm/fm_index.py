@@ -10,7 +10,8 @@ sampled suffix position. The scan is row-wise: no shuffle, and a shard's
 memory is bounded by ``SHARD_WORDS``.
 
 Defined results: a null or empty text has no words; an item without words has
-no window, and one without an id is listed as the empty string; repeated rows and repeated ids are judged row by row; other columns
+no window, and one without an id is listed as the empty string; repeated rows and repeated ids are judged row by row; without documents or
+items nothing is hit; other columns
 of either table are neither read nor carried by ``find_hits``.
 """
 
@@ -152,7 +153,7 @@ class Phrases:
         self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
         for width in sorted({len(w) for w in found}):
             own = [w for w in found if len(w) == width]
-            self.by_length[width] = (np.array(own, dtype=np.int64).reshape(len(own), width), [sorted(found[w]) for w in own])
+            self.by_length[width] = (np.array(own, dtype=np.int32).reshape(len(own), width), [sorted(found[w]) for w in own])
         self.least = min(self.by_length, default=0)
         self.most = max(self.by_length, default=0)
 
@@ -198,12 +199,18 @@ def occurrences(pieces: list[tuple[int, np.ndarray]], phrases: Phrases) -> Itera
         begins = np.cumsum([0, *(len(s) + 1 for _, s in shard)])
         origins = np.array([b for b, _ in shard], dtype=np.int64)
         index = FMIndex(sequence, len(phrases.alphabet))
+        there = np.zeros(len(phrases.alphabet) + 1, dtype=bool)
+        there[sequence] = True
         for width, (patterns, items) in phrases.by_length.items():
-            lo, hi = index.search(patterns)
+            # Only phrases all of whose words occur here are searched.
+            likely = np.arange(len(patterns))
+            for k in range(width):
+                likely = likely[there[patterns[likely, k]]]
+            lo, hi = index.search(patterns[likely].astype(np.int64))
             count = hi - lo
             if count.any():
-                pattern = np.repeat(np.arange(len(lo)), count)
-                at = index.locate(lo[pattern] + np.arange(len(pattern)) - np.repeat(np.cumsum(count) - count, count))
+                pattern = np.repeat(likely, count)
+                at = index.locate(np.repeat(lo, count) + np.arange(len(pattern)) - np.repeat(np.cumsum(count) - count, count))
                 piece = np.searchsorted(begins, at, side="right") - 1
                 yield at - begins[piece] + origins[piece], pattern, width, items
 
