@@ -14,7 +14,9 @@ over the languages. Prediction reads nothing but the text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a null id counts as the empty text (held out); rows without a language
-or a letter are never learned from; without any labelled row all are ``und``.
+or a letter are never learned from, and of rows that share id and language one
+is; of equal scores the language first in order wins; without any labelled row
+all are ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,10 +126,11 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
                     bits = [np.packbits(r).tobytes() for r in x]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + b, e - b), batch.column(1).slice(lo + b, e - b), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
-    found = small_batches(usable.where(F.col("doc_id").isin(wanted)).select("doc_id", "lang", "text")).mapInArrow(digest, "doc_id long, lang string, bits binary").collect() if wanted else []
-    rows = sorted((r["lang"], r["doc_id"], bytes(r["bits"])) for r in found)
-    order_of = {(lang, d): k for d, lang, k in picked}
-    rows = sorted((x for x in rows if (x[0], x[1]) in order_of), key=lambda r: (r[0], order_of[r[0], r[1]], r[2]))
+    found = small_batches(usable.where(F.col("doc_id").isin(wanted)).select("doc_id", "lang", "text")).mapInArrow(digest, "doc_id long, lang string, bits binary") if wanted else None
+    # Of rows that share id and language one is learned from, so that no more come to the driver than were picked.
+    rows = [(r["lang"], r["doc_id"], bytes(r["bits"])) for r in found.groupBy("lang", "doc_id").agg(F.min("bits").alias("bits")).collect()] if wanted else []
+    order_of = {(lang, d): k for d, lang, k in reversed(picked)}
+    rows = sorted((x for x in rows if (x[0], x[1]) in order_of), key=lambda r: (r[0], order_of[r[0], r[1]]))
     x = np.stack([np.unpackbits(np.frombuffer(b, dtype=np.uint8)) for _, _, b in rows]) if rows else np.zeros((0, SPACE), np.uint8)
     return normalised(x), [lang for lang, _, _ in rows]
 
