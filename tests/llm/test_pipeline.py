@@ -77,3 +77,23 @@ def test_clashing_names(spark):
         out = f(docs)
         assert out.columns == docs.columns and {r._key for r in out.collect()} == {"x"}
         assert n is None or out.count() == n
+
+
+def test_pipeline_edges(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    words = lambda i, n=90: " ".join(f"w{(i * 7919 + k * 31) % 997}x{(i + k * k) % 83}" for k in range(n))
+    rows = [(i, words(i), "en", f"s{i % 2}", 5, "e") for i in range(20)]
+    odd = [(None, None, None, None, None, None), (50, None, "en", "a", 0, "e"), (51, "", None, None, 0, None), (52, "short text", "en", "s0", 10, "e"), (None, words(60), None, None, None, "e"), (53, words(3), None, "s1", 1, "e")]
+    frames = {"documents": (rows + rows[:4] + odd, kinds), "labels": ([(i, 1, 0) for i in range(12)] + [(None, None, None)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, words(2)[:60]), (None, None)], "item_id long, text string")}
+    for empty in (False, True):
+        for name, (data, schema) in frames.items():
+            spark.createDataFrame([] if empty else data, schema).write.mode("overwrite").parquet(f"{tmp_path}/{empty}/{name}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{empty}")
+        assert out.columns == [*corpus_pipeline.COLUMNS, "copies"]
+        got = out.collect()
+        if empty:
+            assert got == []
+            continue
+        ids = [r.doc_id for r in got]
+        assert len(ids) == len(set(ids)) and set(ids) <= {*range(20), None} and len(ids) > 10
+        assert all(len(r.text) <= len(words(r.doc_id if r.doc_id is not None else 60)) for r in got)

@@ -178,16 +178,25 @@ def small_batches(df):
 
 
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir. Where that is unset, one of our own on one machine, and an error on a cluster, whose executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", found)
+        gone_at_exit(spark, found)
     return found
 
 
+def gone_at_exit(spark, path: str) -> None:
+    """Has a folder deleted when the driver's JVM ends, however it ends but by force."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 #: Short rows, rows with texts, or bytes of text that a task of a result holds; small tables so don't end in hundreds of tiny files.
 TASK_ROWS, TASK_TEXTS, TASK_BYTES = 50_000, 4_000, 16 << 20
 
@@ -204,4 +213,6 @@ def cut(df, rows: int | None = None, most: int = TASK_ROWS):
         df = gathered(df, rows, most)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
+        # Spark makes a folder of its own there for this application.
+        gone_at_exit(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint(eager=True)
