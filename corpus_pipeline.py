@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with
 the columns of ``documents``; the last adds how many copies the mix takes.
 Between stages ``run`` writes Parquet in the shared folder and reads it again,
-so a lost executor costs a stage's tasks, not the stages before it.
+so a lost executor costs a stage's tasks, not the stages before it. A stage's
+files go once the next one has written its own; the last ones, which the result
+reads, and those of a run that fails go when the driver ends.
+
+Defined results: an empty table gives an empty one; a null text or one that the
+base rules reject goes in the first stage; a null id is an id of its own; of
+rows that are repeated one stays, and of near-duplicates that of the least id, null
+only if all are; columns beyond those of documents are not carried.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import chunking, cube, fm_index, minhash, quality
-from tributary.llm.textkit import shared_dir
+from tributary.llm.textkit import gone_at_exit, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    gone_at_exit(spark, top)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
