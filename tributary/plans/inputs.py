@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_canonical(df: DataFrame, source: str, entity: Column, **columns: Column) -> DataFrame:
+def as_canonical(df: DataFrame, source: str | Column, entity: Column, **columns: Column) -> DataFrame:
     """A canonical record per row with the columns given."""
     columns = {"entity_id": entity, "source": F.lit(source)} | columns
 

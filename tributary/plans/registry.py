@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import arrays, contact, dates, dims, places, similarity, skills, text
@@ -181,13 +181,126 @@ def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.likest(keys, lookups.dictionary(spark, {n: n for n in names})).withColumn("score", F.round("score", 6))
 
 
-@register()
+# A leader is the earliest entry that is its own leader and like in every key; folded entry by entry.
+_FOLD = """fold(g, pos, anchors, leader) AS (
+  SELECT g, 0, [0], 0 FROM entries WHERE pos = 0
+  UNION ALL
+  SELECT g, pos, CASE WHEN l IS NULL THEN list_append(anchors, pos) ELSE anchors END, coalesce(l, pos)
+  FROM (SELECT f.g, e.pos, f.anchors, list_min(list_filter(e.likes, lambda x: list_contains(f.anchors, x))) AS l FROM fold f JOIN entries e ON e.g = f.g AND e.pos = f.pos + 1)
+)"""
+
+
+@register(
+    f"""WITH RECURSIVE names AS (SELECT p_brand AS g, p_name, {_SORTED.format('p_name')} AS s, (row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1)::INT AS pos FROM (SELECT DISTINCT p_brand, p_name FROM part)),
+texts AS (SELECT DISTINCT s FROM names), rated AS (SELECT a, b, {_RATIO} AS r FROM (SELECT x.s AS a, y.s AS b FROM texts x, texts y WHERE x.s <> y.s)),
+entries AS (SELECT n.g, n.pos, n.p_name, coalesce(list(m.pos) FILTER (m.pos IS NOT NULL AND coalesce(r, 100) >= {dims.PROJECT}), []) AS likes
+  FROM names n LEFT JOIN names m ON m.g = n.g AND m.pos < n.pos LEFT JOIN rated ON a = m.s AND b = n.s GROUP BY n.g, n.pos, n.p_name),
+{_FOLD}
+SELECT f.g AS p_brand, f.pos::BIGINT AS pos, p_name AS name, leader::BIGINT AS leader FROM fold f JOIN entries e ON e.g = f.g AND e.pos = f.pos"""
+)
 def fuzzy_leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
     led = brands.withColumn("leader", similarity.leader_positions([F.transform("names", F.lower)], [dims.PROJECT]))
     return led.select("p_brand", F.posexplode("names").alias("pos", "name"), "leader").select("p_brand", F.col("pos").cast("long").alias("pos"), "name", F.get("leader", F.col("pos")).cast("long").alias("leader"))
 
 
+# Entries of three sources of one entity (parts in threes): alike, alike but for case, order or a word, and unlike; each source leaves other gaps.
+_FIRM = "CASE (p_partkey div 3) % 4 WHEN 0 THEN 'acme industrial works' WHEN 1 THEN 'globex corporation' WHEN 2 THEN 'initech data systems' ELSE 'umbrella health group' END"
+_POST = "CASE (p_partkey div 3) % 3 WHEN 0 THEN 'data engineer' WHEN 1 THEN 'software architect' ELSE 'site reliability engineer' END"
+_BY_SOURCE = "CASE p_partkey % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+_DAY = "date_add(DATE '2015-01-01', p_size)"
+
+
+def _by(ats: str, csv: str, notes: str) -> str:
+    return _BY_SOURCE.format(ats, csv, notes)
+
+
+#: kind: (entries of one record, each a dict of SQL expressions that Spark and DuckDB both read).
+_ENTRIES = {
+    "experience": [
+        {"name": _by(_FIRM, f"upper({_FIRM})", f"concat({_FIRM}, ' inc')"), "title": _by(_POST, f"concat('senior ', {_POST})", "'manager'"), "start": _by("NULL", _DAY, "NULL"), "finish": _by("NULL", "NULL", _DAY),
+         "descr": _by("''", "concat('d ', p_brand)", "NULL"), "items": _by("[]", "[p_brand]", "[p_type]"), "tech": _by("['sql', p_brand]", "['python', 'sql']", "[]")},
+        {"name": "p_name", "title": "concat('handler ', p_size % 4)", "start": _DAY, "finish": "NULL", "descr": "p_type", "items": "[]", "tech": "['b', 'a']"},
+    ],
+    "education": [
+        {"name": _by("concat('university of ', substr(p_brand, 1, 5))", "concat('Of ', substr(p_brand, 1, 5), ' University')", "concat('institute ', p_name)"), "start": _by("NULL", _DAY, "NULL"), "descr": _by("''", "'maths'", "p_type"),
+         "amount": _by("0.0", "p_size / 20.0", "NULL"), "items": _by("[]", "[p_brand]", "[]"), "degree": _by("'unknown'", "'master'", "'phd'")},
+    ],
+    "projects": [
+        {"name": _by("concat('project ', (p_partkey div 3) % 50)", "concat('PROJECT ', (p_partkey div 3) % 50)", "concat('project ', p_name)"), "title": _by("''", "p_brand", "p_type"), "descr": _by("NULL", "p_type", "'x'"), "amount": _by("0", "p_size", "3"), "tech": _by("['z', 'a']", "['m']", "[]")},
+    ],
+    "certifications": [
+        {"name": _by(f"concat('certified ', {_FIRM})", f"concat('Certified ', {_FIRM}, 's')", "p_type"), "title": "p_brand"},
+    ],
+}
+_KINDS = {"name": "VARCHAR", "title": "VARCHAR", "start": "DATE", "finish": "DATE", "descr": "VARCHAR", "amount": "DOUBLE", "items": "VARCHAR[]", "tech": "VARCHAR[]", "degree": "VARCHAR"}
+
+
+def _duck(x: str) -> str:
+    return x.replace(" div ", " // ").replace(_DAY, "(DATE '2015-01-01' + p_size::INT)")
+
+
+def _spark(x: str) -> str:
+    return x.replace("[]", "array()").replace("[", "array(").replace("]", ")").replace("array()", "cast(array() as array<string>)")
+
+
+_ENTRY_SQL = " UNION ALL ".join(
+    f"SELECT p_partkey // 3 AS e, '{kind}' AS kind, (p_partkey % 3) * 10 + {i} AS ord, " + ", ".join(f"({_duck(x.get(c, 'NULL'))})::{t} AS {'begun' if c == 'start' else c}" for c, t in _KINDS.items()) + " FROM part" for kind, own in _ENTRIES.items() for i, x in enumerate(own)
+)
+
+
+@register(
+    f"""WITH RECURSIVE raw AS ({_ENTRY_SQL}),
+listed AS (SELECT *, e || kind AS g, (row_number() OVER (PARTITION BY e, kind ORDER BY ord) - 1)::INT AS pos, {_SORTED.format('name')} AS s1, CASE WHEN kind = 'experience' THEN {_SORTED.format('title')} ELSE '' END AS s2 FROM raw),
+couples AS (SELECT y.g, x.pos AS i, y.pos AS j, x.s1 AS a1, y.s1 AS b1, x.s2 AS a2, y.s2 AS b2, y.kind FROM listed x JOIN listed y ON x.g = y.g AND x.pos < y.pos),
+rated AS (SELECT a, b, {_RATIO} AS r FROM (SELECT a1 AS a, b1 AS b FROM couples UNION SELECT a2, b2 FROM couples)),
+alike AS (SELECT c.g, i, j FROM couples c JOIN rated r1 ON r1.a = a1 AND r1.b = b1 JOIN rated r2 ON r2.a = a2 AND r2.b = b2
+  WHERE r1.r >= CASE kind WHEN 'experience' THEN {dims.COMPANY} WHEN 'education' THEN {dims.INSTITUTION} WHEN 'projects' THEN {dims.PROJECT} ELSE {dims.CERTIFICATION} END AND r2.r >= {dims.TITLE}),
+entries AS (SELECT l.g, l.pos, coalesce(list(i) FILTER (i IS NOT NULL), []) AS likes FROM listed l LEFT JOIN alike k ON k.g = l.g AND k.j = l.pos GROUP BY l.g, l.pos),
+{_FOLD},
+led AS (SELECT l.*, leader FROM listed l JOIN fold f ON f.g = l.g AND f.pos = l.pos),
+whole AS (SELECT e::VARCHAR AS entity_id, kind, leader, arg_min(name, pos) AS name, CASE WHEN kind = 'projects' THEN coalesce(arg_min(title, pos) FILTER (title <> ''), '') ELSE arg_min(title, pos) END AS title, arg_min(begun, pos) FILTER (begun IS NOT NULL) AS begun,
+  arg_min(finish, pos) FILTER (finish IS NOT NULL) AS finish, arg_min(descr, pos) FILTER (descr <> '') AS descr, arg_min(amount, pos) FILTER (amount <> 0) AS amount,
+  arg_min(items, pos) FILTER (len(items) > 0) AS items, CASE WHEN count(*) = 1 THEN any_value(tech) ELSE list_sort(list_distinct(flatten(list(coalesce(tech, []))))) END AS tech, coalesce(arg_min(degree, pos) FILTER (degree <> 'unknown'), any_value(degree)) AS degree
+  FROM led GROUP BY e, kind, leader)
+SELECT entity_id, kind, (row_number() OVER (PARTITION BY entity_id, kind ORDER BY leader) - 1)::BIGINT AS idx, name, title, begun::VARCHAR AS begun, finish::VARCHAR AS finish, coalesce(descr, '') AS descr,
+  coalesce(amount, 0) AS amount, coalesce(array_to_string(items, '|'), '') AS items, coalesce(array_to_string(tech, '|'), '') AS tech, degree FROM whole"""
+)
+def fuse_fuzzy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs, schools, projects and certificates of several sources: like ones become one, the first, whose gaps the others fill."""
+    made = {
+        "experience": lambda x: F.struct(x["name"].alias("company"), x["title"].alias("title"), F.lit(None).cast(places.PLACE).alias("location"), x["start"].alias("start_date"), x["finish"].alias("end_date"), F.lit(False).alias("is_current"), x["descr"].alias("description"), x["items"].alias("responsibilities"), x["tech"].alias("technologies"), arrays.no_strings().alias("achievements")),
+        "education": lambda x: F.struct(x["name"].alias("institution"), x["degree"].alias("degree"), x["descr"].alias("field_of_study"), x["start"].alias("start_date"), x["finish"].alias("end_date"), x["amount"].alias("gpa"), x["items"].alias("honors")),
+        "projects": lambda x: F.struct(x["name"].alias("name"), x["descr"].alias("description"), x["title"].alias("url"), F.lit(None).cast("string").alias("repository_url"), x["tech"].alias("technologies"), x["start"].alias("start_date"), x["finish"].alias("end_date"), F.lit(True).alias("is_open_source"), x["amount"].cast("int").alias("stars"), F.lit(0).alias("forks")),
+        "certifications": lambda x: F.struct(x["name"].alias("name"), x["title"].alias("issuing_organization"), *(F.lit(None).alias(n) for n in ("issue_date", "expiry_date", "credential_id", "credential_url"))),
+    }
+    types = {"VARCHAR": "string", "VARCHAR[]": "array<string>"}
+    each = lambda own: {c: F.expr(_spark(own.get(c, "NULL"))).cast(types.get(t, t)) for c, t in _KINDS.items()}
+    lists = {kind: F.array(*(made[kind](each(x)) for x in own)) for kind, own in _ENTRIES.items()}
+    source = F.expr(_by("'ats'", "'csv'", "'notes'"))
+    records = as_canonical(table(spark, sf_dir, "part"), source, F.expr("p_partkey div 3").cast("string"), **lists)
+    merged = merge.merge_records(records)
+    none = lambda t: F.lit(None).cast(t)
+    shown = {
+        "experience": lambda x: (x["company"], x["title"], x["start_date"], x["end_date"], x["description"], none("double"), x["responsibilities"], x["technologies"], none("string")),
+        "education": lambda x: (x["institution"], none("string"), x["start_date"], x["end_date"], x["field_of_study"], x["gpa"], x["honors"], none("array<string>"), x["degree"]),
+        "projects": lambda x: (x["name"], x["url"], x["start_date"], x["end_date"], x["description"], x["stars"], none("array<string>"), x["technologies"], none("string")),
+        "certifications": lambda x: (x["name"], x["issuing_organization"], none("date"), none("date"), none("string"), none("double"), none("array<string>"), none("array<string>"), none("string")),
+    }
+
+    def row(kind: str, i: Column, x: Column) -> Column:
+        name, title, start, finish, descr, amount, items, tech, degree = shown[kind](x)
+        day = lambda d: d.cast("string")
+        return F.struct(
+            F.lit(kind).alias("kind"), i.cast("long").alias("idx"), name.alias("name"), title.alias("title"), day(start).alias("begun"), day(finish).alias("finish"), F.coalesce(descr, F.lit("")).alias("descr"),
+            F.coalesce(amount.cast("double"), F.lit(0.0)).alias("amount"), F.coalesce(joined(items), F.lit("")).alias("items"), F.coalesce(joined(tech), F.lit("")).alias("tech"), degree.alias("degree"),
+        )
+
+    rows = lambda kind: F.transform(F.col(kind), lambda x, i: row(kind, i, x))
+    every = F.concat(*map(rows, _ENTRIES))
+    return merged.select("entity_id", F.explode(every).alias("x")).select("entity_id", "x.*")
+
+
 # --- Text --------------------------------------------------------------------------------------------------------
 
 _SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
