@@ -70,11 +70,16 @@ def list_values(field: str) -> Column:
     return F.transform(c, lambda x: x[key])
 
 
+#: Column of with_provenance() with the entries of single values alone, which with_confidence() reads and drops.
+SINGLE = "_single_provenance"
+
+
 def with_provenance(merged: DataFrame) -> DataFrame:
     """The merged records with ``provenance``, an entry a field in order of the merge."""
     records = F.col("records")
-    entries = [*(scalar_provenance(records, f) for f in SCALARS), location_provenance(records, F.col("location")), *(list_provenance(f, list_values(f)) for f in LISTS)]
-    return merged.withColumn("provenance", F.array_compact(F.array(*entries)))
+    single = F.array_compact(F.array(*(scalar_provenance(records, f) for f in SCALARS), location_provenance(records, F.col("location"))))
+    lists = F.array(*(list_provenance(f, list_values(f)) for f in LISTS))
+    return merged.withColumn(SINGLE, single).withColumn("provenance", F.concat(SINGLE, lists))
 
 
 def scored(p: Column) -> Column:
@@ -126,8 +131,11 @@ def overall(fields: Column) -> Column:
 
 def with_confidence(merged: DataFrame) -> DataFrame:
     """The merged records with ``confidence``: overall score, fields, names of high and low ones, sources."""
-    explained = F.transform(F.col("provenance"), scored)
-    missing = F.when(~F.exists("provenance", lambda p: p["field_name"] == "full_name"), presence("full_name", F.coalesce(F.col("full_name") != "", F.lit(False))))
+    # A list's score doesn't hang on what the list holds, so that scores alone need no list.
+    none = F.lit(0)
+    lists = F.array(*(confidence_of(F.lit(f), F.lit("unknown"), dims.weight(F.lit("unknown")), none, none) for f in LISTS))
+    explained = F.concat(F.transform(F.col(SINGLE), scored), lists) if SINGLE in merged.columns else F.transform(F.col("provenance"), scored)
+    missing = F.when(~F.exists(SINGLE if SINGLE in merged.columns else "provenance", lambda p: p["field_name"] == "full_name"), presence("full_name", F.coalesce(F.col("full_name") != "", F.lit(False))))
     df = merged.withColumn("_fields", F.array_compact(F.concat(explained, F.array(missing))))
     fields = F.col("_fields")
     names = lambda test: F.array_sort(F.transform(F.filter(fields, test), lambda f: f["field_name"]))
@@ -138,4 +146,4 @@ def with_confidence(merged: DataFrame) -> DataFrame:
         names(lambda f: f["score"] < dims.LOW).alias("low_confidence_fields"),
         F.col("sources").alias("sources_used"),
     )
-    return df.withColumn("confidence", made).drop("_fields")
+    return df.withColumn("confidence", made).drop("_fields", SINGLE)

@@ -133,7 +133,8 @@ def normal_skill_lists(lists: Column) -> Column:
     def names(rows: pd.Series) -> pd.Series:
         return rows.map(lambda all_: [] if all_ is None else [one(own) for own in all_])
 
-    return names(lists)
+    # Said to be undetermined only so that the optimiser leaves the mapping above a union of sources, once, and not in each branch of it.
+    return names.asNondeterministic()(lists)
 
 
 def map_canonical(extracted: DataFrame, as_of: str | Column | None = None, compose: bool = False) -> DataFrame:
