@@ -38,5 +38,5 @@ def test_query(spark, duck, name):
         assert rows(found.convert_dtypes()) == rows(want.convert_dtypes())
 
 
-def test_every_query_but_the_folds_has_sql():
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"fuzzy_leader_cluster", "fuse_engine"}
+def test_every_query_but_the_engine_has_sql():
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"fuse_engine"}
