@@ -28,6 +28,21 @@ def by_alias(df: DataFrame, key: Column, dim: DataFrame) -> DataFrame:
     return df.withColumn("_key", F.lower(F.trim(key))).join(found, F.col("_key") == F.col("_alias"), "left").drop("_key", "_alias")
 
 
+def grams(c: Column) -> Column:
+    """Distinct pairs of neighbouring characters; of a single character it alone."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
+
+
+def like_pairs(names: DataFrame, cutoff: float) -> DataFrame:
+    """(left_name, right_name, ratio) of distinct names (a column name) whose ratio is the cutoff or more, each pair once, the lesser name first. Pairs meet by the character pairs they share, as in likest()."""
+    if cutoff <= 200 / 3:
+        raise ValueError("below 66.7 like strings need not share two neighbouring characters")
+    own = names.select("name").distinct().withColumn("s", sorted_tokens(F.lower("name"))).withColumn("gram", F.explode(grams(F.col("s"))))
+    x, y = own.select("gram", F.col("name").alias("left_name"), F.col("s").alias("a")), own.select("gram", F.col("name").alias("right_name"), F.col("s").alias("b"))
+    pairs = x.join(y, "gram").where((F.col("left_name") < F.col("right_name")) & reachable(F.col("a"), F.col("b"), cutoff)).select("left_name", "right_name", "a", "b").distinct()
+    return pairs.select("left_name", "right_name", indel_ratio(F.col("a"), F.col("b")).alias("ratio")).where(F.col("ratio") >= cutoff)
+
+
 def likest(names: DataFrame, dim: DataFrame, cutoff: float = SKILL) -> DataFrame:
     """(key, name, score) of each distinct key without an exact alias: the likest alias from the cutoff on, the first of equals.
 
@@ -39,7 +54,6 @@ def likest(names: DataFrame, dim: DataFrame, cutoff: float = SKILL) -> DataFrame
     if cutoff <= 200 / 3:
         raise ValueError("below 66.7 like strings need not share two neighbouring characters")
     keys = names.select(F.lower(F.trim("key")).alias("key")).distinct().join(small(dim).select(F.col("alias").alias("key")), "key", "left_anti")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
     a = keys.withColumn("ka", sorted_tokens(F.col("key"))).withColumn("gram", F.explode(grams(F.col("ka"))))
     b = dim.withColumn("kb", sorted_tokens(F.col("alias"))).withColumn("gram", F.explode(grams(F.col("kb"))))
     pairs = a.join(b, "gram").where(reachable(F.col("ka"), F.col("kb"), cutoff)).select("key", "ka", "kb", "name", "pos").distinct()

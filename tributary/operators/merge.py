@@ -21,7 +21,7 @@ LISTS = ("emails", "phones", "skills", "experience", "education", "projects", "c
 
 
 def one_per_source(canonical: DataFrame) -> DataFrame:
-    """One record per entity and source; of several the last by its content, so that reruns agree. Partial aggregation keeps a key that many rows share from meeting in one task as rows."""
+    """One record per entity and source; of several one that their contents alone determine, by hash, so that reruns agree however rows are ordered. Partial aggregation keeps a key that many rows share from meeting in one task as rows."""
     fields = [n for n in CANONICAL if n not in ("entity_id", "source")]
     held = F.struct(*fields)
     return canonical.groupBy("entity_id", "source").agg(F.max_by(held, F.xxhash64(F.to_json(held))).alias("r")).select("entity_id", "source", "r.*")

@@ -157,14 +157,11 @@ _RATIO = f"CASE WHEN a = b THEN 100.0 ELSE 200.0 * {_LCS.format(a='a', b='b')} /
 
 @register(
     f"""WITH names AS (SELECT DISTINCT p_name AS name, {_SORTED.format('p_name')} AS s FROM part), pairs AS (SELECT x.name AS left_name, y.name AS right_name, x.s AS a, y.s AS b FROM names x JOIN names y ON x.name < y.name)
-SELECT left_name, right_name, round({_RATIO}, 6)::DOUBLE AS ratio FROM pairs"""
+SELECT left_name, right_name, round({_RATIO}, 6)::DOUBLE AS ratio FROM pairs WHERE {_RATIO} >= 70"""
 )
 def fuzzy_pairs_partname(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The stated set of distinct names, a few dozen whatever the scale.
-    names = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", similarity.sorted_tokens(F.lower("p_name")).alias("s"))
-    x, y = names.select(F.col("p_name").alias("left_name"), F.col("s").alias("a")), names.select(F.col("p_name").alias("right_name"), F.col("s").alias("b"))
-    pairs = x.join(lookups.small(y), F.col("left_name") < F.col("right_name"))
-    return pairs.select("left_name", "right_name", F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return lookups.like_pairs(names, 70).withColumn("ratio", F.round("ratio", 6))
 
 
 @register(
