@@ -108,6 +108,28 @@ def test_removal_leaves_no_phrase(spark):
     assert out[3].n_chars == 5
 
 
+def test_items_in_groups_give_the_result_of_one(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    items = [(i % 25 if i else None, " ".join(word() for _ in range(rng.choice([3, 10, 14, 25])))) for i in range(60)] + [(61, None), (62, "")]
+    piece = lambda: " ".join(word() for _ in range(rng.randint(0, 12))) + " " + (rng.choice(items)[1] or "")
+    docs = [(i % 40, "\n".join(piece() for _ in range(rng.randint(0, 5)))) for i in range(80)] + [(None, None), (None, ""), (3, items[1][1] + " " + items[2][1])]
+    half, other = items[5][1].split(), items[6][1]
+    docs.append((90, " ".join([*half[:2], other, *half[2:]])))
+    rows = [(d, t, None, None, None if t is None else len(t), "x") for d, t in docs]
+    frame = spark.createDataFrame(rows, SCHEMA + ", _row string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    whole = sorted(map(tuple, fm_index.remove_hits(frame, bench).collect()), key=key)
+    assert sorted(map(tuple, fm_index.find_hits(frame, bench).collect()), key=key) == sorted(hits(docs, items), key=key)
+    monkeypatch.setattr(fm_index, "GROUP_BYTES", 1500)
+    assert len(fm_index.phrase_groups(bench)) > 2
+    assert sorted(map(tuple, fm_index.find_hits(frame, bench).collect()), key=key) == sorted(hits(docs, items), key=key)
+    assert sorted(map(tuple, fm_index.remove_hits(frame, bench).collect()), key=key) == whole
+    assert not any(h[5] for h in hits([r[:2] for r in whole], items))
+    assert fm_index.find_hits(frame.limit(0), bench).count() == fm_index.remove_hits(frame.limit(0), bench).count() == 0
+
+
 def base(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
