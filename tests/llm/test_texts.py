@@ -128,11 +128,15 @@ def test_cascade_is_exact(spark):
     assert keys.where(~url_cascade.is_listed(F.col("key"), everything)).count() == 0
 
 
-def test_a_list_too_large_is_joined(spark, monkeypatch):
-    pages = table(spark, SF, "pages")
-    want = sorted(map(tuple, url_cascade.filter_urls(pages).collect()))
-    monkeypatch.setattr(url_cascade, "MOST_WORDS", 0)
-    assert sorted(map(tuple, url_cascade.filter_urls(pages).collect())) == want and any(w[5] for w in want)
+def test_cascades_in_blocks_give_the_result_of_one(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"x://{'a.' * (i % 2)}h{i % 900}.example.info/") for i in range(1200)] + [(None, None)], "page_id long, url string")
+    names = [f"h{i}.example.info" for i in range(0, 900, 3)]
+    want = sorted(map(str, url_cascade.filter_urls(pages, names).collect()))
+    made, build = [], url_cascade.build_cascade
+    monkeypatch.setattr(url_cascade, "build_cascade", lambda *a: made.append(build(*a)) or made[-1])
+    monkeypatch.setattr(url_cascade, "BLOCK_WORDS", 3)
+    assert sorted(map(str, url_cascade.filter_urls(pages, names).collect())) == want
+    assert len(made) > 1 and sum("listed=True" in w for w in want) == 400
 
 
 def test_url_filter_edges(spark):

@@ -6,8 +6,9 @@ other keys that level 1 lets through, level 3 the listed keys that level 2
 lets through, and so on until nothing passes wrongly. A key is judged by the
 first level that rejects it, which is exact for every key of the universe, so
 the table is filtered by an expression, without a join. All of it is DataFrame
-functions; a level reaches the driver as its words, whose number is checked:
-a list too large for an expression is joined, with the same result.
+functions; a level reaches the driver as its words. Where one cascade would
+take more words than an expression should hold, keys and pages are dealt into
+blocks by their host's hash, each with a cascade of its own, one after the other.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with
 A-Z lower-cased; path: from there up to ``?``, ``#`` or the end.
@@ -32,8 +33,8 @@ from tributary.llm.textkit import cut
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: The list: domains that are blocked with all their subdomains.
 LISTED = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
-#: Words of 64 bits a level may have in a query's expression; beyond it the listed keys are joined instead.
-MOST_WORDS = 8 << 20
+#: Words of 64 bits, about, of a block's largest level, which its expression holds.
+BLOCK_WORDS = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,10 +52,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-class LevelTooLarge(ValueError):
-    """A level that no expression should hold."""
-
-
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: its bits as words of 64, and how many hashes a key has."""
@@ -85,12 +82,19 @@ def passes(key: Column, level: Level) -> Column:
     return out
 
 
+def words_for(many: float, rate: float) -> int:
+    """Words of a filter of many keys, of the false-positive rate given."""
+    return max(1, math.ceil(-many * math.log(rate) / math.log(2) ** 2 / 64))
+
+
+def first_rate(listed: int, others: int) -> float:
+    """Level 1's false-positive rate; later levels have a half."""
+    return min(0.5, max(1e-6, math.sqrt(0.5) * listed / max(others, 1)))
+
+
 def build_level(keys: DataFrame, number: int, many: int, rate: float) -> Level:
     """The filter of keys (a column key), of the false-positive rate given."""
-    bits = max(64, math.ceil(-many * math.log(rate) / math.log(2) ** 2))
-    words = -(-bits // 64)
-    if words > MOST_WORDS:
-        raise LevelTooLarge(f"level {number} needs {words} words; {MOST_WORDS} is the most an expression holds")
+    words = words_for(many, rate)
     hashes = max(1, round(64 * words / many * math.log(2)))
     at = F.explode(F.array(*positions(F.col("key"), number, hashes, 64 * words))).alias("at")
     rows = keys.select(at).groupBy(word_of(F.col("at")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
@@ -100,15 +104,17 @@ def build_level(keys: DataFrame, number: int, many: int, rate: float) -> Level:
     return Level(number, tuple(held), hashes)
 
 
-def build_cascade(universe: DataFrame) -> list[Level]:
-    """Levels over the whole universe of (key, listed): alternately those that are listed and those that aren't."""
+def tally(universe: DataFrame) -> tuple[int, int]:
+    """How many keys are listed, and how many aren't."""
     counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    listed, others = counts.get(True, 0), counts.get(False, 0)
+    return counts.get(True, 0), counts.get(False, 0)
+
+
+def build_cascade(universe: DataFrame, counts: tuple[int, int] | None = None) -> list[Level]:
+    """Levels over the whole universe of (key, listed): alternately those that are listed and those that aren't."""
+    listed, others = counts or tally(universe)
     levels: list[Level] = []
-    if not listed:
-        return levels
-    rate = min(0.5, max(1e-6, math.sqrt(0.5) * listed / max(others, 1)))
-    inside, outside, many = universe.where("listed"), universe.where("not listed"), listed
+    rate, inside, outside, many = first_rate(listed, others), universe.where("listed"), universe.where("not listed"), listed
     while many:
         levels.append(build_level(inside.select("key"), len(levels) + 1, many, rate))
         inside, outside = outside.where(passes(F.col("key"), levels[-1])), inside
@@ -147,13 +153,24 @@ def rule_fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 def filter_urls(pages: DataFrame, listed: Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: host, path, the longest rule that fits, and the verdict: the rule's, else block for a listed host."""
     split = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    host, path = F.col("host"), F.col("path")
     universe = cut(key_universe(split, listed), pages.count())
-    try:
-        member = is_listed(host, build_cascade(universe))
-    except LevelTooLarge:
-        split = split.join(universe.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_member")), host == F.col("_key"), "left")
-        member = F.coalesce("_member", F.lit(False))
+    counts = tally(universe)
+    rate = first_rate(*counts)
+    blocks = -(-max(words_for(counts[0], rate), words_for(counts[1] * rate, 0.5)) // BLOCK_WORDS)
+    if blocks == 1:
+        return judged(split, build_cascade(universe, counts), rules)
+    out = None
+    for k in range(blocks):
+        own = lambda key: F.pmod(F.xxhash64(key, F.lit(0)), F.lit(blocks)) == k  # noqa: B023, E731
+        part = cut(judged(split.where(own("host")), build_cascade(universe.where(own("key"))), rules))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def judged(split: DataFrame, levels: Sequence[Level], rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Rows of (page_id, host, path) with rule, verdict and membership."""
+    host, path = F.col("host"), F.col("path")
+    member = is_listed(host, levels)
     rule, verdict = F.lit(None).cast("string"), F.when(member, F.lit("block")).otherwise(F.lit("allow"))
     for own in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):
         fits = rule_fits(host, path, own)
