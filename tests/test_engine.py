@@ -59,6 +59,19 @@ def test_delimited_source(spark, files, tmp_path):
     assert delimited.read_delimited(spark, str(tmp_path / "latin.csv")).first().full_name == "José"
 
 
+def test_files_of_many_entities(spark, tmp_path):
+    (tmp_path / "many.csv").write_text("name,email\n" + "".join(f"P{i},p{i}@x.org\n" for i in range(500)))
+    assert delimited.sniffed(spark, str(tmp_path / "many.csv")) == ("UTF-8", ",", False)
+    rows = delimited.read_delimited(spark, str(tmp_path / "many.csv"))
+    assert rows.select("entity_id").distinct().count() == rows.count() == 500
+    (tmp_path / "over.csv").write_text('name,summary\nJo,"one, ""two""\nthree"\nAl,x\n')
+    assert delimited.sniffed(spark, str(tmp_path / "over.csv"))[2]
+    assert [(r.full_name, r.summary) for r in delimited.read_delimited(spark, str(tmp_path / "over.csv")).orderBy("full_name").collect()] == [("Al", "x"), ("Jo", 'one, "two"\nthree')]
+    (tmp_path / "many.jsonl").write_text('{"name": "A"}\n\n{"name": "B"}\n[1]\n')
+    found = documents.read_documents(spark, str(tmp_path / "many.jsonl")).collect()
+    assert len({r.entity_id for r in found}) == 3 and sorted(r.full_name or "" for r in found) == ["", "A", "B"] and sum(r.error is not None for r in found) == 1
+
+
 def test_notes_source(spark, files, tmp_path):
     r = prose.read_notes(spark, str(files / "n.txt"), F.lit("e")).first()
     assert (r.full_name, r.location_raw, r.years_of_experience, r.emails) == ("Jane Smith", "San Francisco, CA", 8.0, ["jane.smith@example.com"])

@@ -158,7 +158,9 @@ def read_one(spark: SparkSession, source: str, where: object, entity: str) -> Da
             found = reader(source)(spark, [user]).withColumn("entity_id", F.lit(entity))
         else:
             found = reader(source)(spark, str(where), F.lit(entity))
-        return found.limit(1) if found.limit(1).count() else failed(spark, source, entity, f"[{source}] no record in {where}")
+        # In the order of the file, whatever task is done first.
+        first = found.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(1).drop("_at")
+        return first if found.limit(1).count() else failed(spark, source, entity, f"[{source}] no record in {where}")
     except Exception as e:  # whatever a reader meets, the other sources are still read
         log.warning("%s: %s", source, e)
         return failed(spark, source, entity, f"[{source}] {str(e).splitlines()[0]}")

@@ -541,7 +541,7 @@ def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k')) AS found FROM events")
 def json_multikey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", documents.value(F.try_parse_json("props"), "missing k").alias("found"))
+    return table(spark, sf_dir, "events").select("event_id", documents.value(F.try_parse_json("props"), ("missing", "k")).alias("found"))
 
 
 @register(
@@ -549,7 +549,7 @@ def json_multikey(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_list_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"s": [" ', event_type, '", "", "b "]}') WHEN 1 THEN concat('{"skills": null, "s": "a; ', event_type, ',,c"}') WHEN 2 THEN '{"s": 5}' ELSE '{}' END""")
-    return table(spark, sf_dir, "events").select("event_id", joined(documents.strings(F.try_parse_json(doc), "skills s")).alias("items"))
+    return table(spark, sf_dir, "events").select("event_id", joined(documents.strings(F.try_parse_json(doc), ("skills", "s"))).alias("items"))
 
 
 _DOC = """concat('{"name": "', c_name, '", "email": "', replace(c_name, '#', '.'), '@example.com", "years_experience": "', c_acctbal, '", "skills": ["k8s", "reactjs", "', c_mktsegment, '"], "experience": [{"employer": "acme inc", "role": "', c_mktsegment, '", "from": "Jan 2020", "to": "now"}, 7], "github": "github.com/u', c_custkey, '"}')"""
