@@ -570,6 +570,32 @@ def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Documents whose entries vary in keys, gaps and values by the part they are made of.
+_ENTRIES = """concat('{"education": [', CASE WHEN p_partkey % 7 = 0 THEN '3, ' ELSE '' END, '{', CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('"institution": "', p_brand, '", ') WHEN 2 THEN concat('"school": " ', p_brand, ' ", ') ELSE concat('"university": "', p_brand, '", ') END,
+CASE p_partkey % 3 WHEN 0 THEN concat('"degree": "Master of ', p_type, '"') WHEN 1 THEN concat('"level": "B.Sc ', p_type, '"') ELSE '"degree_type": ""' END, ', "', CASE WHEN p_partkey % 2 = 0 THEN 'major' ELSE 'discipline' END, '": "', p_type, '", "startDate": "', 1960 + p_size, '-09", "', CASE WHEN p_partkey % 2 = 0 THEN 'graduation_date' ELSE 'end_date' END,
+'": "', 1964 + p_size, '", "', CASE WHEN p_partkey % 2 = 0 THEN 'gpa' ELSE 'grade' END, '": "', p_size, CASE WHEN p_partkey % 2 = 0 THEN '/4.0' ELSE '' END, '", "honors": "', p_brand, ';  ; first"}], "projects": [', CASE WHEN p_partkey % 5 = 0 THEN '{"stars": "many"' ELSE concat('{"', CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE 'name' END, '": " ', p_name, ' ", "stars": ', p_size) END,
+', "', CASE WHEN p_partkey % 2 = 0 THEN 'demo_url' ELSE 'live_url' END, '": "www.Example.com/p', p_partkey, '/", "github_url": "https://github.com/o/r', p_partkey, '", "open_source": ', CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '"yes"' ELSE 'null' END, '}], "', CASE WHEN p_partkey % 2 = 0 THEN 'certificates' ELSE 'certifications' END, '": [{',
+CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN concat('"certification_name": "', p_type, '", ') ELSE concat('"name": "', p_type, '", ') END, '"issuer": "', p_brand, '", "issued_date": "', 2000 + p_size % 20, '-02-03", "expires": "Mar ', 2001 + p_size % 20, '", "license_number": ', p_partkey, ', "verify_url": "', CASE WHEN p_partkey % 3 = 0 THEN 'https:///nowhere' ELSE concat('https://v.example.com/', p_partkey) END, '"}]}')"""
+
+
+@register(
+    """SELECT p_partkey::VARCHAR AS entity_id, CASE WHEN p_partkey % 4 = 0 THEN 'Unknown' ELSE p_brand END AS school, CASE p_partkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'bachelor' ELSE 'unknown' END AS degree, p_type AS field, (1960 + p_size) || '-09-01' AS school_start, (1964 + p_size) || '-01-01' AS school_end,
+CASE WHEN p_size <= 4 THEN p_size::DOUBLE END AS gpa, p_brand || '|first' AS honors, CASE WHEN p_partkey % 5 = 0 THEN 'Untitled' ELSE p_name END AS project, 'https://www.example.com/p' || p_partkey AS url, 'https://github.com/o/r' || p_partkey AS repository, p_partkey % 4 IN (0, 2) AS open_source,
+CASE WHEN p_partkey % 5 <> 0 THEN p_size::BIGINT END AS stars, CASE WHEN p_partkey % 6 = 0 THEN 'Unknown' ELSE p_type END AS certificate, p_brand AS issuer, (2000 + p_size % 20) || '-02-03' AS issued, (2001 + p_size % 20) || '-03-01' AS expires, p_partkey::VARCHAR AS credential, CASE WHEN p_partkey % 3 <> 0 THEN 'https://v.example.com/' || p_partkey END AS credential_url FROM part"""
+)
+def map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Education, projects and certificates of documents, read by any of their keys and mapped."""
+    k = F.col("p_partkey").cast("string")
+    found = mapping.map_canonical(documents.from_json_rows(table(spark, sf_dir, "part").withColumn("doc", F.expr(_ENTRIES)), k, k, F.col("doc")), AS_OF)
+    school, own, paper = (F.get(n, F.lit(0)) for n in ("education", "projects", "certifications"))
+    day = lambda c: c.cast("string")
+    return found.select(
+        "entity_id", school["institution"].alias("school"), school["degree"].alias("degree"), school["field_of_study"].alias("field"), day(school["start_date"]).alias("school_start"), day(school["end_date"]).alias("school_end"), school["gpa"].alias("gpa"), joined(school["honors"]).alias("honors"),
+        own["name"].alias("project"), own["url"].alias("url"), own["repository_url"].alias("repository"), own["is_open_source"].alias("open_source"), own["stars"].cast("long").alias("stars"),
+        paper["name"].alias("certificate"), paper["issuing_organization"].alias("issuer"), day(paper["issue_date"]).alias("issued"), day(paper["expiry_date"]).alias("expires"), paper["credential_id"].alias("credential"), paper["credential_url"].alias("credential_url"),
+    )
+
+
 # --- Sources -----------------------------------------------------------------------------------------------------
 
 
@@ -716,6 +742,33 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entity_id", F.col("errors").cast("long").alias("errors"), F.col("warnings").cast("long").alias("warnings"), "is_valid")
 
 
+_SCHOOLS = """jobs AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderdate::DATE - CAST(o_orderkey % 3 * 10000 AS INTEGER) AS s, CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate::DATE - CAST(o_orderkey % 3 * 10000 AS INTEGER) - 500 + CAST(o_orderkey % 1000 AS INTEGER) END AS e,
+CASE WHEN o_orderkey % 3 <> 1 THEN (o_orderkey % 60)::DOUBLE / 10 - 1 END AS g FROM orders)"""
+
+
+@register(
+    f"""WITH {_SCHOOLS} SELECT o_custkey::VARCHAR AS entity_id, 'warning' AS severity, 'experience[' || i || '] (' || o_orderpriority || ').start_date' AS field, '{validate.TOO_EARLY}' AS message, s::VARCHAR AS value FROM jobs WHERE s < DATE '{validate.EARLIEST}'
+UNION ALL SELECT o_custkey::VARCHAR, 'error', 'experience[' || i || '] (' || o_orderpriority || ').dates', '{validate.ENDS_FIRST}', s || ' > ' || e FROM jobs WHERE e < s
+UNION ALL SELECT o_custkey::VARCHAR, 'error', 'education[' || i || '] (' || o_orderpriority || ').dates', '{validate.LEFT_FIRST}', s || ' > ' || e FROM jobs WHERE e < s
+UNION ALL SELECT o_custkey::VARCHAR, 'error', 'education[' || i || '].gpa', '{validate.BAD_GPA}', g::VARCHAR FROM jobs WHERE g < 0 OR g > 4"""
+)
+def validate_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on dates and grades of jobs and schools, with their messages."""
+    start = F.date_sub(F.to_date("o_orderdate"), F.expr("int(o_orderkey % 3 * 10000)"))
+    end = F.when(F.expr("o_orderkey % 4 < 2"), F.date_add(F.date_sub(start, 500), F.expr("int(o_orderkey % 1000)")))
+    none = F.lit(None).cast("string")
+    school = F.struct(F.col("o_orderpriority").alias("institution"), none.alias("degree"), none.alias("field_of_study"), start.alias("start_date"), end.alias("end_date"), F.expr("CASE WHEN o_orderkey % 3 <> 1 THEN double(o_orderkey % 60) / 10 - 1 END").alias("gpa"), arrays.no_strings().alias("honors"))
+    job = F.struct(
+        F.col("o_orderpriority").alias("company"), F.col("o_orderstatus").alias("title"), F.lit(None).cast(places.PLACE).alias("location"), start.alias("start_date"), end.alias("end_date"), F.lit(False).alias("is_current"), none.alias("description"),
+        arrays.no_strings().alias("responsibilities"), arrays.no_strings().alias("technologies"), arrays.no_strings().alias("achievements"),
+    )
+    both = F.array_sort(F.collect_list(F.struct("o_orderkey", job.alias("j"), school.alias("s"))))
+    people_ = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(both.alias("both"))
+    records = as_canonical(people_, "ats", F.col("o_custkey").cast("string"), experience=F.transform("both", lambda x: x["j"]), education=F.transform("both", lambda x: x["s"]))
+    found = validate.findings_rows(validate.with_findings(records, AS_OF)).where(F.col("field").rlike(r"^(experience|education)\["))
+    return found.select("entity_id", "severity", "field", "message", "value")
+
+
 @register(
     """SELECT page_id::VARCHAR AS entity_id, 'linkedin' AS platform, 'https://www.linkedin.com/in/u' || page_id AS url FROM pages UNION ALL SELECT page_id::VARCHAR, 'other', 'http://h' || page_id || '.example.com:8080/a' FROM pages"""
 )
