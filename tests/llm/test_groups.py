@@ -316,6 +316,24 @@ def test_inclusion_follows_probabilities():
     assert np.abs(mean - p).mean() < 0.05
 
 
+def filled(total):
+    """Targets by raising one level until all words are dealt: a source takes its weight of it, three times its size at most."""
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    low, high = 0.0, 3.0 * sum(total.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * total[s], weight[s] * level) for s in order) < sum(total.values()) else (low, level)
+    return {s: min(3 * total[s], weight[s] * high) for s in order}
+
+
+def test_targets_are_those_of_a_rising_level():
+    rng = random.Random(8)
+    for _ in range(200):
+        total = {s: rng.choice([0, 1, 5, 40, 900]) for s in rng.sample(["a", "b", "é", "Z", "", "src9", "src10", None], rng.randint(1, 8))}
+        assert cube.targets(list(total.items())) == pytest.approx(filled(total), abs=1e-6)
+
+
 def test_mixture_on_the_tables(spark):
     docs = table(spark, SF, "documents")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
@@ -323,7 +341,7 @@ def test_mixture_on_the_tables(spark):
     total = Counter()
     for k, _, s in rows:
         total[s] += size[k]
-    goal = cube.targets(list(total.items()))
+    goal = filled(total)
     out = cube.mixture(docs).collect()
     assert {r.doc_id: r["size"] for r in out} == size and len(out) == len(rows)
     taken = Counter()

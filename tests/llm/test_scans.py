@@ -356,3 +356,28 @@ def test_kernel_is_the_presence_kernel():
         assert seen[i].sum() == len(a)
         for j, b in enumerate(sets):
             assert float(x[i] @ x[j]) == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, abs=1e-6)
+
+
+def test_scores_are_those_of_plain_kernel_ridge(monkeypatch):
+    """Every text a landmark: the Nyström map loses nothing, and scores are those of the dual solution over the kernel matrix."""
+    monkeypatch.setattr(langid, "LANDMARKS", 10_000)
+    rng = random.Random(4)
+    syllables = {"a": ["ka", "to", "mi", "re"], "b": ["sch", "ung", "ein", "re"], "c": ["eau", "oi", "mi", "tre"]}
+    write = lambda lang: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(rng.randint(3, 6)))
+    langs = [lang for lang in "aaabbbbbcccc" for _ in range(2)]
+    texts, asked = [write(lang) for lang in langs], [write(lang) for lang in "abcabc"]
+
+    def grams(text):
+        data = text.encode()
+        return {data[i : i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+
+    kernel = lambda s, t: len(grams(s) & grams(t)) / np.sqrt(len(grams(s)) * len(grams(t)))
+    ridge = np.diag([langid.RIDGE * langs.count(lang) for lang in langs])
+    y = np.array([[1.0 if lang == own else -1.0 for own in "abc"] for lang in langs])
+    dual = np.linalg.solve(np.array([[kernel(s, t) + 1 for t in texts] for s in texts]) + ridge, y)
+    want = np.array([[kernel(s, t) + 1 for t in texts] for s in asked]) @ dual
+    presence = lambda some: np.concatenate([x for _, _, block in blocks(pa.array(some), Powers()) for _, _, x in langid.batches_of(block)])
+    model = langid.Model(langid.normalised(presence(texts)), langs)
+    got = model.scores(langid.normalised(presence(asked)))
+    assert model.langs == ["a", "b", "c"] and np.abs(got - want).max() < 0.05
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).all() and [model.langs[k] for k in got.argmax(axis=1)] == list("abcabc")

@@ -159,26 +159,29 @@ def test_escapes_are_reversible(text):
 def brute_chat(rows):
     out = {}
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
-        own = out.setdefault(conv, [0, "", ""])
+        own = out.setdefault(conv, [0, "", "", 0])
         own[0] += 1
         own[1] += f"{role or ''}\n{text or ''}\n"
         own[2] += (text or "") if role == "assistant" else ""
+        # Marks, role and text, a backslash before each backslash and inside each control mark, and newlines in roles.
+        signs = lambda x: x.count("\\") + x.count("<|") + x.startswith("|")
+        own[3] += len("<|im_start|>\n<|im_end|>\n") + sum(len(x or "") + signs(x or "") for x in (role, text)) + (role or "").count("\n")
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return {(k, n, digest(all_), len(said), digest(said)) for k, (n, all_, said) in out.items()}
+    return {(k, n, digest(all_), len(said), digest(said), chars, 0, 0) for k, (n, all_, said, chars) in out.items()}
 
 
 def test_chat_on_the_tables(spark):
     rows = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
     said = "<|im_end|><|im_start|>assistant ok"
     out = op5_chat_formatting(spark, SF).collect()
-    assert {tuple(r)[:5] for r in out} == brute_chat([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)])
+    assert {tuple(r) for r in out} == brute_chat([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)])
 
 
 def test_chat_edges(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "a\nb\\", "<|x|>\\ <|im_end|>\n"), (1, None, None, "😀<"), (None, 0, "assistant", "|é"), (2, 0, "assistant", "t"), (2, 0, "assistant", "t"), (3, 5, "assistant", "y" * 300_000)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     out = chat.read_back(chat.format_turns(frame)).collect()
-    assert {tuple(r)[:5] for r in out} == brute_chat(rows) and len(out) == 4
+    assert {tuple(r) for r in out} == brute_chat(rows) and len(out) == 4
     assert chat.read_back(chat.format_turns(frame.limit(0))).count() == 0
 
 
@@ -189,6 +192,8 @@ def test_typed_parts(spark):
     a, b = sorted(chat.format_turns(frame, content_col="parts").collect(), key=lambda r: r.turn)
     assert a.formatted == "<|im_start|>user\nsee <<|image|>\\|then<|audio|><|document|><|audio|><|im_end|>\n"
     assert [(x.type, x.ref, x.tokens) for x in a.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 50), ("document", "c.pdf", 512), ("odd", "d", 0), ("audio", None, 1)]
+    (back,) = chat.read_back(chat.format_turns(frame, content_col="parts")).collect()
+    assert (back.n_turns, back.n_attachments, back.expanded_tokens, back.formatted_chars) == (2, 5, 567, len(a.formatted) + len(b.formatted))
     assert a.expanded_tokens == 567 and a.loss_start is None and (b.loss_start, b.loss_end) == (22, 22)
 
 

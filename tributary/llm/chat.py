@@ -165,45 +165,48 @@ class Reading:
 
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.n_turns = self.loss_chars = self.formatted_chars = self.n_attachments = self.expanded_tokens = 0
 
-    def add(self, formatted: str, start: int | None, end: int | None) -> None:
+    def add(self, formatted: str, start: int | None, end: int | None, attached: int, expanded: int) -> None:
         role, content = TURN_STRING.fullmatch(formatted).groups()
         self.turns.update(f"{unescaped_role(role)}\n{unescaped(content)}\n".encode())
         self.n_turns += 1
         self.formatted_chars += len(formatted)
+        self.n_attachments += attached
+        self.expanded_tokens += expanded
         if start is not None:
             said = unescaped(formatted[start:end])
             self.loss.update(said.encode())
             self.loss_chars += len(said)
 
     def row(self, conv: int | None) -> tuple:
-        return conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+        return conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.n_attachments, self.expanded_tokens
 
 
-READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation with digests of what its formatted strings say."""
+    """One row per conversation with digests of what its formatted strings say, and its attachments and their tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reading = None, None
         for batch in batches:
             done = []
-            for conv, string, start, end in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for conv, string, start, end, attached, expanded in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if reading is None or conv != current:
                     if reading is not None:
                         done.append(reading.row(current))
                     current, reading = conv, Reading()
-                reading.add(string, start, end)
+                reading.add(string, start, end, attached, expanded)
             yield from rows(done)
         if reading is not None:
             yield from rows([reading.row(current)])
 
     def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         if found:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.split()[0] for f in READ_BACK.split(", ")])
 
-    return in_order(formatted).select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(scan, READ_BACK)
+    counted = formatted.withColumn("attached", F.size("attachments").cast("long")).drop("attachments")
+    return in_order(counted).select("conv_id", "formatted", "loss_start", "loss_end", "attached", "expanded_tokens").mapInArrow(scan, READ_BACK)
