@@ -571,7 +571,7 @@ def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Documents whose entries vary in keys, gaps and values by the part they are made of.
-_ENTRIES = """concat('{"education": [', CASE WHEN p_partkey % 7 = 0 THEN '3, ' ELSE '' END, '{', CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('"institution": "', p_brand, '", ') WHEN 2 THEN concat('"school": " ', p_brand, ' ", ') ELSE concat('"university": "', p_brand, '", ') END,
+_DOC_ENTRIES = """concat('{"education": [', CASE WHEN p_partkey % 7 = 0 THEN '3, ' ELSE '' END, '{', CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('"institution": "', p_brand, '", ') WHEN 2 THEN concat('"school": " ', p_brand, ' ", ') ELSE concat('"university": "', p_brand, '", ') END,
 CASE p_partkey % 3 WHEN 0 THEN concat('"degree": "Master of ', p_type, '"') WHEN 1 THEN concat('"level": "B.Sc ', p_type, '"') ELSE '"degree_type": ""' END, ', "', CASE WHEN p_partkey % 2 = 0 THEN 'major' ELSE 'discipline' END, '": "', p_type, '", "startDate": "', 1960 + p_size, '-09", "', CASE WHEN p_partkey % 2 = 0 THEN 'graduation_date' ELSE 'end_date' END,
 '": "', 1964 + p_size, '", "', CASE WHEN p_partkey % 2 = 0 THEN 'gpa' ELSE 'grade' END, '": "', p_size, CASE WHEN p_partkey % 2 = 0 THEN '/4.0' ELSE '' END, '", "honors": "', p_brand, ';  ; first"}], "projects": [', CASE WHEN p_partkey % 5 = 0 THEN '{"stars": "many"' ELSE concat('{"', CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE 'name' END, '": " ', p_name, ' ", "stars": ', p_size) END,
 ', "', CASE WHEN p_partkey % 2 = 0 THEN 'demo_url' ELSE 'live_url' END, '": "www.Example.com/p', p_partkey, '/", "github_url": "https://github.com/o/r', p_partkey, '", "open_source": ', CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '"yes"' ELSE 'null' END, '}], "', CASE WHEN p_partkey % 2 = 0 THEN 'certificates' ELSE 'certifications' END, '": [{',
@@ -586,7 +586,7 @@ CASE WHEN p_partkey % 5 <> 0 THEN p_size::BIGINT END AS stars, CASE WHEN p_partk
 def map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Education, projects and certificates of documents, read by any of their keys and mapped."""
     k = F.col("p_partkey").cast("string")
-    found = mapping.map_canonical(documents.from_json_rows(table(spark, sf_dir, "part").withColumn("doc", F.expr(_ENTRIES)), k, k, F.col("doc")), AS_OF)
+    found = mapping.map_canonical(documents.from_json_rows(table(spark, sf_dir, "part").withColumn("doc", F.expr(_DOC_ENTRIES)), k, k, F.col("doc")), AS_OF)
     school, own, paper = (F.get(n, F.lit(0)) for n in ("education", "projects", "certifications"))
     day = lambda c: c.cast("string")
     return found.select(
