@@ -195,6 +195,43 @@ def test_quality_edges(spark):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {7, None}
 
 
+def test_quality_learns_from_every_label(spark, tmp_path, monkeypatch):
+    n, poor = 24_000, 3_000
+    text = lambda i: " ".join((f"{'bad' if i >= n else 'good'}{(i * 31 + k * k) % 211}" if k % 4 else f"all{(i + k) % 97}") for k in range(52))
+    rows = [(i, text(i), None, None, None) for i in range(0, n + poor, 60)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents")
+    spark.range(n + poor).selectExpr("id doc_id", f"int(id < {n}) quality", "0 toxic").write.parquet(f"{tmp_path}/labels")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("documents", "labels"))
+    target, held, bad = (list(x) for x in quality.trusted_ids(labels))
+    assert sorted(target + held) == list(range(n)) and len(held) == n // 4 and sorted(bad) == list(range(n, n + poor))
+    scores = brute_scores([r[:2] for r in rows], set(target))
+    passed = {k for k, t, *_ in rows if not base(t)[5]}
+    good, low_ones = (sorted(scores[k] for k in passed.intersection(ids)) for ids in (held, bad))
+    low = good[int(len(good) * quality.LOST)]
+    threshold = min((low + low_ones[int(len(low_ones) * (1 - quality.PASSED)) - 1]) / 2, low - (good[len(good) // 2] - low) / 4)
+    for few_ids, few_keys in ((quality.FEW_IDS, quality.FEW_KEYS), (0, 0)):
+        monkeypatch.setattr(quality, "FEW_IDS", few_ids)
+        monkeypatch.setattr(quality, "FEW_KEYS", few_keys)
+        out = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+        assert all(out[k].score == pytest.approx(s, abs=1e-9) for k, s in scores.items())
+        kept = {k for k, r in out.items() if r.kept}
+        assert kept == {k for k in passed if scores[k] >= threshold} and len(kept) > 300
+        assert {r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect()} == kept
+
+
+@pytest.mark.parametrize("few", [0, 7, 10**6])
+def test_exact_ranks(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW_KEYS", few)
+    own = random.Random(5)
+    floats = {g: [own.choice([0.0, -0.0, -1.5, own.gauss(0, 1), own.gauss(0, 1e-9), own.gauss(0, 1e9)]) for _ in range(300)] for g in (True, False)}
+    keys = {g: quality.in_order((np.array(x) + 0.0).view(np.int64)) for g, x in floats.items()}
+    frame = spark.createDataFrame([(g, k) for g, x in keys.items() for k in x.tolist()], "good boolean, key long")
+    found = quality.at_ranks(frame, lambda g, n: [0, n // 3, n - 1] if g else [n // 2])
+    got = {g: quality.in_order(np.array(x, dtype=np.int64)).view(np.float64).tolist() for g, x in found.items()}
+    assert got == {True: [sorted(floats[True])[k] for k in (0, 100, 299)], False: [sorted(floats[False])[150]]}
+    assert quality.at_ranks(frame.limit(0), lambda g, n: [0]) == {}
+
+
 def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
