@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_groups import WORD, brute_classes, brute_cuts
 from test_scans import base, brute_scores, hits
 
@@ -97,3 +98,15 @@ def test_pipeline_edges(spark, tmp_path):
         ids = [r.doc_id for r in got]
         assert len(ids) == len(set(ids)) and set(ids) <= {*range(20), None} and len(ids) > 10
         assert all(len(r.text) <= len(words(r.doc_id if r.doc_id is not None else 60)) for r in got)
+
+
+def test_pipeline_learns_from_every_label(spark, tmp_path):
+    by_hash = lambda lo, hi: [r.id for r in spark.range(lo, hi).orderBy(F.xxhash64("id"), "id").collect()]
+    good, bad = by_hash(0, 100_000), by_hash(100_000, 105_000)
+    # None of these is among the 22 000 trusted ids of least hash, or the 2 000 bad ones; the first hundred are held back.
+    kept, gone = good[22_000:22_100] + good[25_000:25_300], bad[2_000:2_100]
+    text = lambda i: " ".join(f"{'good' if i < 100_000 else 'bad'}{(i * 31 + k * k) % 211}" if k % 4 else f"all{(i + k) % 97}" for k in range(80))
+    spark.createDataFrame([(i, text(i), "en", "s", 5) for i in kept + gone], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(105_000).selectExpr("id doc_id", "int(id < 100000) quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == set(kept)
